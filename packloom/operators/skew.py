@@ -16,11 +16,12 @@ PIECES = 32
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
     """Keys with more than 1/share of the rows of ``df``: at most ``share`` values reach the driver.
 
-    Counts are combined before the shuffle. Null keys never count, for they never match.
+    Counts are combined before the shuffle. Null keys never count, for they never match. Keys of PIECES rows or
+    fewer are never hot.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = counts.join(F.broadcast(total)).where(F.col("n") * share > F.col("total")).select(key).limit(share).collect()
+    some = df.where(F.col(key).isNotNull()).select(key)
+    least = some.count() // share
+    rows = some.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, PIECES)).select(key).limit(share).collect()
     return [r[0] for r in rows]
 
 
