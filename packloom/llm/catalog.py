@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packloom.llm import answer_queries
+from packloom.llm import answer_queries, corpus_queries
 
-MODULES = [answer_queries]
+MODULES = [answer_queries, corpus_queries]
 
 
 def queries() -> dict:
