@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.llm.leakage import leaked
 from packloom.llm.splits import assign_groups, propagate, text_links
 from packloom.sources.tables import canonical_sample_id, table
 
@@ -39,5 +40,16 @@ def p5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.join(p5_packs(spark, sf_dir), "pack").select("sample_key", "pack", "split_name")
 
 
-QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that give away items of eval_items."""
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the number of documents that give it away."""
+    counts = p7_found(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+    return table(spark, sf_dir, "eval_items").select("item_id", "kind").join(counts, "item_id", "left").select("item_id", "kind", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p7_found": p7_found, "p7_items": p7_items}
 SQL: dict[str, str] = {}
