@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packloom.llm.leakage import leaked
 from packloom.llm.splits import assign_groups, propagate, text_links
+from packloom.llm.subjects import subject_posteriors, subjects
 from packloom.sources.tables import canonical_sample_id, table
 
 
@@ -51,5 +52,21 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", "kind").join(counts, "item_id", "left").select("item_id", "kind", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p7_found": p7_found, "p7_items": p7_items}
+def _subject_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), table(spark, sf_dir, "subject_areas")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of documents."""
+    return subjects(*_subject_inputs(spark, sf_dir))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and expected documents of each subject."""
+    p = subject_posteriors(*_subject_inputs(spark, sf_dir))
+    counts = p.groupBy("subject").agg(F.count_if((F.col("posterior") >= 0.5) & (F.col("lexicon") > 0)).alias("documents"), F.round(F.sum("posterior"), 1).alias("expected"))
+    return table(spark, sf_dir, "subject_areas").select("subject").join(F.broadcast(counts), "subject", "left").na.fill(0)
+
+
+QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
