@@ -124,13 +124,30 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _class(chars: list[str]) -> str:
+    """A regular expression's class of the characters, as ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
 @functools.cache
 def canonical_sql(column: str) -> str:
     """DuckDB expression for the canonical form of ``column``."""
     m = mapping()
-    table = f"{_quoted(''.join(m))}, {_quoted(''.join(m.values()))}"
+    # translate() builds its table anew for each row: the short one, for the width forms that most texts hold, always
+    # runs, the long one only where the text has one of its characters.
+    short = {a: b for a, b in m.items() if "\uff01" <= a <= "\uff5e"}
+    rest = {a: b for a, b in m.items() if a not in short}
+    table = lambda x: f"{_quoted(''.join(x))}, {_quoted(''.join(x.values()))}"
+    bare = f"regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g')"
+    mapped = f"CASE WHEN regexp_matches({column}, {_quoted(_class(list(rest)))}) THEN translate({bare}, {table(rest)}) ELSE {bare} END"
     # Composing comes last, for removal and mapping bring letters and accents together.
-    return f"nfc_normalize(translate(regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g'), {table}))"
+    return f"nfc_normalize(translate({mapped}, {table(short)}))"
 
 
 def _canonicalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
