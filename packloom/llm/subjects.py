@@ -24,9 +24,9 @@ from packloom.session import cut_lineage
 #: Labelled examples from which the lexicon is fitted; more are left aside, lowest ids first taken.
 MOST_EXAMPLES = 5000
 #: Examples that must hold a term, by writing, and the share of them that must have its subject.
-LEAST_HAN, LEAST_OTHER, PURITY = 3, 2, 0.9
+LEAST_HAN, LEAST_OTHER, PURITY = 5, 3, 0.9
 #: Upper ends of the lexicon function's levels; a fifth of the sentences lies inside the third.
-LEVELS = (0.0, 0.08, 0.14, 0.3)
+LEVELS = (0.0, 0.08, 0.16, 0.28)
 #: Documents get the subjects of at least this posterior probability.
 CUT = 0.5
 #: Votes of the functions heading, address and source, and of sections.
@@ -139,8 +139,7 @@ def votes(lexicon: Lexicon, text: str, address: str | None) -> dict[str, tuple[i
         own = Counter(x for x in map(lexicon.leader, part) if x)
         total += len(part)
         said.update(own)
-        if own:
-            led[max(own, key=own.__getitem__)] += 1
+        led.update(s for s, n in own.items() if n * 3 >= len(part))
     title = lexicon.leader(heading) if heading else None
     out = {}
     for s in {*said, *([title] if title else []), *([address] if address else [])} if total else ():
