@@ -1,7 +1,7 @@
 """Subjects of documents by labelling functions whose accuracies a latent model learns.
 
 Five labelling functions look at each (document, subject): the share of sentences that a lexicon gives the subject, its
-share of sections, the heading, the document's address (its pack's domain) and its source. A generative model with
+share of text in sections that treat it, the heading, the document's address (its pack's domain) and its source. A generative model with
 one hidden truth for each pair learns, from the counts of all vote patterns of the corpus and without labels, how
 often each function gives each vote under either truth; documents get the subjects of high posterior probability.
 """
@@ -29,6 +29,8 @@ LEAST_HAN, LEAST_OTHER, PURITY = 5, 3, 0.9
 LEVELS = (0.0, 0.08, 0.16, 0.28)
 #: Documents get the subjects of at least this posterior probability.
 CUT = 0.5
+#: Lexicon level that a text itself must reach, whatever the other functions say.
+LEAST_LEVEL = 3
 #: Votes of the functions heading, address and source, and of sections.
 NO, YES, ABSTAIN = 0, 1, 2
 
@@ -139,13 +141,13 @@ def votes(lexicon: Lexicon, text: str, address: str | None) -> dict[str, tuple[i
         own = Counter(x for x in map(lexicon.leader, part) if x)
         total += len(part)
         said.update(own)
-        led.update(s for s, n in own.items() if n * 3 >= len(part))
+        led.update({s: len(part) for s, n in own.items() if n * 3 >= len(part)})
     title = lexicon.leader(heading) if heading else None
     out = {}
     for s in {*said, *([title] if title else []), *([address] if address else [])} if total else ():
         share = said[s] / total
         level = sum(share > x for x in LEVELS)
-        section = YES if led[s] >= 0.2 * len(parts) else NO
+        section = YES if led[s] >= 0.2 * total else NO
         out[s] = (level, section if len(parts) > 1 else ABSTAIN, ABSTAIN if title is None else int(title == s), ABSTAIN if address is None else int(address == s))
     return out
 
@@ -231,5 +233,5 @@ def subject_posteriors(documents: DataFrame, examples: DataFrame, areas: DataFra
 
 
 def subjects(documents: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
-    """``(doc_id, subject)`` of posterior CUT or more; the text must show some sign of the subject itself."""
-    return subject_posteriors(documents, examples, areas).where((F.col("posterior") >= CUT) & (F.col("lexicon") > 0)).select("doc_id", "subject")
+    """``(doc_id, subject)`` of posterior CUT or more; the text's own share must reach LEAST_LEVEL."""
+    return subject_posteriors(documents, examples, areas).where((F.col("posterior") >= CUT) & (F.col("lexicon") >= LEAST_LEVEL)).select("doc_id", "subject")
