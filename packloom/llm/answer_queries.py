@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.llm.canonical import canonical_sql, canonical_text, equal_looking_pairs
+from packloom.llm.pairs import broken_pairs
 from packloom.sources.tables import canonical_sample_id, table
 
 
@@ -26,7 +27,23 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_text(_answers(spark, sf_dir).where("answer IS NOT NULL"), "answer", "canonical")
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective rows of attempts, each with one type."""
+    key = canonical_sample_id("sample_id").alias("sample_key")
+    attempts = table(spark, sf_dir, "attempts").select("delivery_id", key, F.col("parsed.answer").alias("answer"), F.col("attempt.raw").alias("raw"))
+    questions = table(spark, sf_dir, "questions").select(key, "question", F.lower(F.trim("question_type")).alias("kind"))
+    references = table(spark, sf_dir, "gold").select(F.col("sample_id").alias("key"), F.explode("answers").alias("text"))
+    events = table(spark, sf_dir, "case_events")
+    names = events.select(F.concat_ws(":", "pack", "event_id").alias("key"), F.explode(F.array("event_type", "trigger_word")).alias("text"))
+    return broken_pairs(attempts, questions, references, names)
+
+
+def p1_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective rows by type."""
+    return p1_found(spark, sf_dir).groupBy("defect_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_census": p1_census, "p3_found": p3_found, "p3_canonical": p3_canonical}
 
 _ANSWERS = r"""
 WITH a AS (
