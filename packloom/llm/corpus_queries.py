@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.llm.leakage import leaked
+from packloom.llm.packing import pack, token_counts
 from packloom.llm.splits import assign_groups, propagate, text_links
 from packloom.llm.subjects import CUT, LEAST_LEVEL, subject_posteriors, subjects
+from packloom.session import cut_lineage
 from packloom.sources.tables import canonical_sample_id, table
 
 
@@ -41,6 +43,20 @@ def p5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.join(p5_packs(spark, sf_dir), "pack").select("sample_key", "pack", "split_name")
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bin of every text, or part of a text that exceeds the capacity, for each container size."""
+    counts = cut_lineage(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    containers = table(spark, sf_dir, "container_sizes").withColumnRenamed("capacity_tokens", "capacity")
+    return pack(counts, containers).drop("filled", "capacity")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens and share of space used for each container size."""
+    capacity = table(spark, sf_dir, "container_sizes").select("container", "capacity_tokens")
+    used = p6_packed(spark, sf_dir).groupBy("container").agg(F.countDistinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
+    return used.join(F.broadcast(capacity), "container").withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 4)).drop("capacity_tokens")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that give away items of eval_items."""
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
@@ -68,5 +84,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "subject_areas").select("subject").join(F.broadcast(counts), "subject", "left").na.fill(0)
 
 
-QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
