@@ -57,7 +57,7 @@ k: κ
 l: ӏ ⅼ
 m: ⅿ
 n: ո
-o: о ο օ σ
+o: о ο օ
 p: р ρ
 q: ԛ
 s: ѕ
