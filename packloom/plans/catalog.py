@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packloom.plans import general
+from packloom.plans import general, retrieval_queries
 
-MODULES = [general]
+MODULES = [general, retrieval_queries]
 
 
 def queries() -> dict:
