@@ -94,3 +94,15 @@ def base(query: str, more: str = "") -> str:
 def steps(c: str) -> str:
     """Neighbours of a chain as ``a>b``."""
     return f"list_transform(list_zip({c}[1:len({c})-1], {c}[2:len({c})]), lambda z: z[1] || '>' || z[2])"
+
+
+def bm25(name: str, queries: str, texts: str) -> str:
+    """Relations that end in ``name(query, corpus, item, score)``; ``queries(query, corpus, text)``, ``texts(corpus, item, text)``."""
+    return f"""
+{name}_t AS (SELECT corpus, item, {tokens("text")} AS toks FROM ({texts})),
+{name}_s AS (SELECT corpus, count(*) AS n, CASE WHEN sum(len(toks)) = 0 THEN 1.0 ELSE avg(len(toks)) END AS mean FROM {name}_t GROUP BY corpus),
+{name}_f AS (SELECT corpus, item, dl, term, count(*) AS tf FROM (SELECT corpus, item, len(toks) AS dl, unnest(toks) AS term FROM {name}_t) GROUP BY ALL),
+{name}_d AS (SELECT corpus, term, count(*) AS df FROM {name}_f GROUP BY ALL),
+{name}_q AS (SELECT DISTINCT query, corpus, unnest(toks) AS term FROM (SELECT query, corpus, {tokens("text")} AS toks FROM ({queries}))),
+{name} AS (SELECT q.query, f.corpus, f.item, sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * f.dl / s.mean))) AS score
+  FROM {name}_q AS q JOIN {name}_f AS f ON f.corpus = q.corpus AND f.term = q.term JOIN {name}_d AS d ON d.corpus = f.corpus AND d.term = f.term JOIN {name}_s AS s ON s.corpus = f.corpus GROUP BY ALL)"""
