@@ -110,7 +110,7 @@ def question_conditioned_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EVENT_TEXT = "coalesce(event_type, '') || ' ' || coalesce(trigger_word, '') || ' ' || left(coalesce(array_to_string(map_values(argument), '；'), ''), 400) || ' ' || left(coalesce(d.text, ''), 400)"
-_SCORED = (
+SCORED = (
     bm25("sem", "SELECT sample_key AS query, pack AS corpus, regexp_replace(question, 'D[0-9]{3,}', ' ', 'g') AS text FROM questions1", f"SELECT e.pack AS corpus, e.event_id AS item, {_EVENT_TEXT} AS text FROM events1 AS e LEFT JOIN docs1 AS d ON d.pack = e.pack AND d.doc_code = e.doc_id")
     + f""",
 semr AS (SELECT query AS sample_key, item AS event_id, round(score / max(score) OVER (PARTITION BY query), 6) AS relevance FROM sem),
@@ -129,7 +129,7 @@ scored1 AS (SELECT n.sample_key, n.pack, n.path, round(
 )
 
 
-@query(base("SELECT sample_key, array_to_string(path, '>') AS path, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY score DESC, array_to_string(path, '>')) AS rnk FROM scored1) WHERE rnk <= 5", _SCORED))
+@query(base("SELECT sample_key, array_to_string(path, '>') AS path, score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY score DESC, array_to_string(path, '>')) AS rnk FROM scored1) WHERE rnk <= 5", SCORED))
 def path_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five paths of the highest score for each question."""
     order = Window.partitionBy("sample_key").orderBy(F.desc("score"), G.joined("path"))
