@@ -66,8 +66,7 @@ def bootstrap_sums(rows: DataFrame, key: str, value: str, replicates: int, seed:
     n = numbered.count()
     if not n:
         return spark.createDataFrame([], "rep int, n bigint, total double")
-    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    draws = numbered.select("number").join(F.broadcast(reps))
+    draws = numbered.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "number"), 256), 1, 12), 16, 10).cast("bigint")
     draws = draws.select("rep", (digest % n).alias("number"))
     return draws.join(numbered.select("number", value), "number").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))

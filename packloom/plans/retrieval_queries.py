@@ -208,7 +208,7 @@ def hints_union_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     base(
-        """SELECT q.sample_key, count(*) AS documents, sum(length(d.text)) AS chars, md5(string_agg(d.doc_code, ',' ORDER BY d.doc_code)) AS digest FROM questions1 AS q JOIN docs1 AS d ON d.pack = q.pack
+        """SELECT q.sample_key, count(*) AS documents, sum(length(d.text))::BIGINT AS chars, md5(string_agg(d.doc_code, ',' ORDER BY d.doc_code)) AS digest FROM questions1 AS q JOIN docs1 AS d ON d.pack = q.pack
         SEMI JOIN (SELECT r.sample_key, c.doc_id FROM rank1 AS r JOIN cand AS c ON c.pack = r.pack AND c.event_id = r.event_id WHERE r.rnk <= 3
               UNION SELECT sample_key, unnest(ids) FROM anchors1) AS k ON k.sample_key = q.sample_key AND k.doc_id = d.doc_code GROUP BY q.sample_key"""
     )
