@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packloom.functions.text import let
+
 # Beginnings of a pure refusal, and the refusal's one form.
 REFUSAL = "无法确定"
 REFUSAL_PREFIXES = """
@@ -26,24 +28,52 @@ def member(value: Column, name: str) -> Column:
 
 def kind(value: Column) -> Column:
     """TEXT, NUMBER, BOOLEAN, LIST, OBJECT or NULL (missing or null) for a VARIANT."""
-    s = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (s == "VOID"), "NULL")
-        .when(s == "STRING", "TEXT")
-        .when(s == "BOOLEAN", "BOOLEAN")
-        .when(s.startswith("ARRAY"), "LIST")
-        .when(s.startswith("OBJECT"), "OBJECT")
-        .otherwise("NUMBER")
-    )
+
+    def name(s: Column) -> Column:
+        return (
+            F.when(s.isNull() | (s == "VOID"), "NULL")
+            .when(s == "STRING", "TEXT")
+            .when(s == "BOOLEAN", "BOOLEAN")
+            .when(s.startswith("ARRAY"), "LIST")
+            .when(s.startswith("OBJECT"), "OBJECT")
+            .otherwise("NUMBER")
+        )
+
+    return let(F.schema_of_variant(value), name)
 
 
 def texts(value: Column) -> Column:
     """A list of texts (VARIANT) as an array; null if it is no list, or holds anything but texts."""
-    s = F.schema_of_variant(value)
-    as_texts = F.try_variant_get(value, "$", "array<string>")
-    return F.when(s == "ARRAY<VOID>", F.when(F.size(F.try_variant_get(value, "$", "array<variant>")) == 0, F.array().cast("array<string>"))).when(
-        (s == "ARRAY<STRING>") & ~F.exists(as_texts, lambda x: x.isNull()), as_texts
-    )
+
+    def listed(s: Column) -> Column:
+        as_texts = F.try_variant_get(value, "$", "array<string>")
+        return F.when(s == "ARRAY<VOID>", F.when(F.size(F.try_variant_get(value, "$", "array<variant>")) == 0, F.array().cast("array<string>"))).when(
+            s == "ARRAY<STRING>", let(as_texts, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), t))
+        )
+
+    return let(F.schema_of_variant(value), listed)
+
+
+def reply(text: Column) -> Column:
+    """What a reply's JSON holds, read once: kinds of its members, the answer, the chain and the confidence; ``kind`` is null for broken JSON."""
+
+    def fields(v: Column) -> Column:
+        def members(m: Column) -> Column:
+            said = F.when(m["answer_kind"] == "TEXT", F.try_variant_get(v, "$.answer", "string"))
+            return F.struct(
+                m["kind"].alias("kind"),
+                stripped(said).alias("answer"),
+                m["chain_kind"].alias("chain_kind"),
+                F.when(m["chain_kind"] == "LIST", F.size(F.try_variant_get(v, "$.evidence_chain", "array<variant>"))).alias("chain_size"),
+                F.when(m["chain_kind"] == "LIST", F.transform(texts(member(v, "evidence_chain")), stripped)).alias("chain"),
+                m["confidence_kind"].alias("confidence_kind"),
+                F.when(m["confidence_kind"] == "NUMBER", F.try_variant_get(v, "$.confidence", "double")).alias("confidence"),
+            )
+
+        kinds = F.struct(kind(v).alias("kind"), *[kind(member(v, n)).alias(f"{a}_kind") for n, a in (("answer", "answer"), ("evidence_chain", "chain"), ("confidence", "confidence"))])
+        return F.when(v.isNotNull(), let(kinds, members))
+
+    return let(F.try_parse_json(text), fields)
 
 
 def unfenced(raw: Column) -> Column:
@@ -61,15 +91,15 @@ def refusal_tag(raw: Column) -> Column:
 
     Broken JSON, other values than objects and real answers are left alone. A phrase counts only with an empty chain and without an id.
     """
-    v = F.try_parse_json(raw)
-    answer, chain = member(v, "answer"), member(v, "evidence_chain")
-    said = stripped(F.try_variant_get(v, "$.answer", "string"))
-    whole = (kind(v) == "OBJECT") & (kind(answer) == "TEXT") & (kind(chain) == "LIST")
-    empty = F.size(F.try_variant_get(chain, "$", "array<variant>")) == 0
-    exact = F.when(~(empty & (kind(member(v, "confidence")) == "NULL")), "exact_refusal_fields")
-    begins = F.exists(F.array(*[F.lit(p) for p in REFUSAL_PREFIXES]), lambda p: F.startswith(said, p))
+    return let(reply(raw), _tag)
+
+
+def _tag(r: Column) -> Column:
+    said, empty = r["answer"], r["chain_size"] == 0
+    exact = F.when(~(empty & (r["confidence_kind"] == "NULL")), "exact_refusal_fields")
     no_id = ~said.rlike(r"(?<![\p{L}\p{N}_])D[0-9]{3,}(?![\p{L}\p{N}_])")
-    return F.when(whole, F.when(said == REFUSAL, exact).when(empty & no_id & begins, "empty_chain_refusal_phrase"))
+    phrase = F.when(empty & said.rlike("^(?:" + "|".join(REFUSAL_PREFIXES) + ")") & no_id, "empty_chain_refusal_phrase")
+    return F.when((r["kind"] == "OBJECT") & said.isNotNull() & (r["chain_kind"] == "LIST"), F.when(said == REFUSAL, exact).otherwise(phrase))
 
 
 def prediction_error(raw: Column, allowed: Column) -> Column:
@@ -77,47 +107,60 @@ def prediction_error(raw: Column, allowed: Column) -> Column:
 
     ``allowed`` is an array of the ids the reply may name. Clear refusals are put into their one form before.
     """
-    tag = refusal_tag(raw)
-    v = F.try_parse_json(unfenced(raw))
-    answer, confidence = member(v, "answer"), member(v, "confidence")
-    said = F.when(tag.isNotNull(), F.lit(REFUSAL)).otherwise(stripped(F.when(kind(answer) == "TEXT", F.try_variant_get(v, "$.answer", "string"))))
-    chain = F.transform(texts(member(v, "evidence_chain")), stripped)
-    chain = F.when(tag == "exact_refusal_fields", F.array().cast("array<string>")).otherwise(chain)
-    number = F.when(tag.isNull() & (kind(confidence) == "NUMBER"), F.try_variant_get(v, "$.confidence", "double"))
-    given = tag.isNull() & (kind(confidence) != "NULL")
-    refused = said == REFUSAL
-    return (
-        F.when(v.isNull(), "not_json")
-        .when(kind(v) != "OBJECT", "not_object")
-        .when(said.isNull() | (said == ""), "answer_blank")
-        .when(chain.isNull(), "chain_not_ids")
-        .when(F.size(F.array_except(chain, allowed)) > 0, "unknown_id")
-        .when(F.size(F.array_distinct(chain)) < F.size(chain), "repeated_id")
-        .when(refused & ((F.size(chain) > 0) | given), "refusal_fields")
-        .when(~refused & (F.size(chain) == 0), "no_chain")
-        .when(~refused & number.isNull(), "confidence_type")
-        .when(~refused & ~number.between(0.0, 1.0), "confidence_range")
-        .otherwise("")
-    )
+
+    def rules(p: Column) -> Column:
+        r, tag = p["r"], p["tag"]
+        return F.struct(
+            r["kind"].alias("kind"),
+            F.when(tag.isNotNull(), F.lit(REFUSAL)).otherwise(r["answer"]).alias("said"),
+            F.when(tag == "exact_refusal_fields", F.array().cast("array<string>")).otherwise(r["chain"]).alias("chain"),
+            F.when(tag.isNull(), r["confidence"]).alias("number"),
+            (tag.isNull() & (r["confidence_kind"] != "NULL")).alias("given"),
+        )
+
+    def error(x: Column) -> Column:
+        said, chain, number = x["said"], x["chain"], x["number"]
+        refused = said == REFUSAL
+        return (
+            F.when(x["kind"].isNull(), "not_json")
+            .when(x["kind"] != "OBJECT", "not_object")
+            .when(said.isNull() | (said == ""), "answer_blank")
+            .when(chain.isNull(), "chain_not_ids")
+            .when(F.size(F.array_except(chain, allowed)) > 0, "unknown_id")
+            .when(F.size(F.array_distinct(chain)) < F.size(chain), "repeated_id")
+            .when(refused & ((F.size(chain) > 0) | x["given"]), "refusal_fields")
+            .when(~refused & (F.size(chain) == 0), "no_chain")
+            .when(~refused & number.isNull(), "confidence_type")
+            .when(~refused & ~number.between(0.0, 1.0), "confidence_range")
+            .otherwise("")
+        )
+
+    # A reply that is bare JSON is read once; the repair looks at the reply as it came.
+    fenced = F.startswith(stripped(raw), F.lit("```"))
+    both = let(reply(raw), lambda r: F.struct(F.when(fenced, reply(unfenced(raw))).otherwise(r).alias("r"), _tag(r).alias("tag")))
+    return let(both, lambda p: let(rules(p), error))
 
 
 def two_field_error(raw: Column, allowed: Column) -> Column:
     """Like ``prediction_error`` for replies that may think first and hold an answer and a chain, nothing else."""
     text = after_thinking(raw)
-    v = F.try_parse_json(unfenced(text))
-    said, chain = stripped(F.when(kind(member(v, "answer")) == "TEXT", F.try_variant_get(v, "$.answer", "string"))), texts(member(v, "evidence_chain"))
-    return (
-        F.when(text.isNull(), "thinking_open")
-        .when(v.isNull(), "not_json")
-        .when(kind(v) != "OBJECT", "not_object")
-        .when(F.array_sort(F.json_object_keys(unfenced(text))) != F.array(F.lit("answer"), F.lit("evidence_chain")), "other_fields")
-        .when(said.isNull() | (said == ""), "answer_blank")
-        .when(chain.isNull(), "chain_not_ids")
-        .when(F.size(F.array_except(chain, allowed)) > 0, "unknown_id")
-        .when(F.size(F.array_distinct(chain)) < F.size(chain), "repeated_id")
-        .when((said == REFUSAL) != (F.size(chain) == 0), "refusal_fields")
-        .otherwise("")
-    )
+
+    def error(r: Column) -> Column:
+        said, chain = r["answer"], r["chain"]
+        return (
+            F.when(text.isNull(), "thinking_open")
+            .when(r["kind"].isNull(), "not_json")
+            .when(r["kind"] != "OBJECT", "not_object")
+            .when(F.array_sort(F.json_object_keys(unfenced(text))) != F.array(F.lit("answer"), F.lit("evidence_chain")), "other_fields")
+            .when(said.isNull() | (said == ""), "answer_blank")
+            .when(chain.isNull(), "chain_not_ids")
+            .when(F.size(F.array_except(chain, allowed)) > 0, "unknown_id")
+            .when(F.size(F.array_distinct(chain)) < F.size(chain), "repeated_id")
+            .when((said == REFUSAL) != (F.size(chain) == 0), "refusal_fields")
+            .otherwise("")
+        )
+
+    return let(reply(unfenced(text)), error)
 
 
 def route_error(raw: Column, allowed: Column) -> Column:
