@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
@@ -22,11 +22,12 @@ def bm25(queries: DataFrame, texts: DataFrame) -> DataFrame:
     terms are a set; lengths count all tokens, pairs too. Items that share no term with the query give no row (their score
     is zero). Frequencies are combined before the shuffle, and only terms that a query of the corpus has go on to it.
     """
-    own = texts.select("corpus", "item", T.tokens(F.col("text")).alias("toks")).withColumn("length", F.size("toks"))
+    own = texts.select("corpus", "item", T.tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("length", F.size("toks"))
     stats = own.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.when(F.sum("length") == 0, F.lit(1.0)).otherwise(F.avg("length")).alias("mean"))
     asked = queries.select("query", "corpus", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     wanted = asked.select("corpus", "term").distinct()
     tf = own.select("corpus", "item", "length", F.explode("toks").alias("term")).groupBy("corpus", "term", "item", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # The optimizer takes this semi join below the aggregation, so tokens that no query has are gone before the shuffle.
     tf = tf.join(wanted, ["corpus", "term"], "left_semi")
     df = tf.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(df, ["corpus", "term"]).join(stats, "corpus")
@@ -60,6 +61,31 @@ def known_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("sample_key", "pack", F.filter(T.event_ids(F.col("question")), lambda x: F.array_contains(F.coalesce("known", F.array().cast("array<string>")), x)).alias("ids"))
 
 
+def sentence_scores(terms: Column, toks: Column) -> Column:
+    """BM25 of a query's terms against the sentences of one text, a score for each; the text's sentences are the corpus.
+
+    All inside the row: a text's sentences are there already, so nothing is shuffled.
+    """
+
+    def scored(x: Column) -> Column:
+        n, total = F.size(x["s"]), F.aggregate(x["s"], F.lit(0), lambda a, t: a + F.size(t))
+        mean = F.when(total == 0, F.lit(1.0)).otherwise(total / n)
+        held = F.transform(x["q"], lambda q: F.struct(q.alias("q"), F.size(F.filter(x["s"], lambda t: F.array_contains(t, q))).alias("df")))
+        known = F.filter(held, lambda h: h["df"] > 0)
+
+        def of(t: Column, k: Column, average: Column) -> Column:
+            def add(acc: Column, h: Column) -> Column:
+                tf = F.size(F.filter(t, lambda y: y == h["q"]))
+                idf = F.log(1 + (n - h["df"] + 0.5) / (h["df"] + 0.5))
+                return F.when(F.array_contains(t, h["q"]), acc + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(t) / average))).otherwise(acc)
+
+            return F.aggregate(k, F.lit(0.0), add)
+
+        return T.let(F.struct(known.alias("k"), mean.alias("m")), lambda y: F.transform(x["s"], lambda t: of(t, y["k"], y["m"])))
+
+    return T.let(F.struct(terms.alias("q"), toks.alias("s")), scored)
+
+
 def best_excerpts(spark: SparkSession, sf_dir: str, asked: DataFrame, most: int = 240) -> DataFrame:
     """``(sample_key, event_id, excerpt)``: the sentence of the event's document that suits question and label best.
 
@@ -68,14 +94,13 @@ def best_excerpts(spark: SparkSession, sf_dir: str, asked: DataFrame, most: int
     """
     q = R.questions(spark, sf_dir).select("sample_key", "question")
     c = R.candidates(spark, sf_dir).select("pack", "event_id", "doc_id", "label")
-    rows = asked.join(c, ["pack", "event_id"]).join(q, "sample_key").withColumn("at", F.concat_ws("\u0001", "sample_key", "event_id"))
     docs = R.documents(spark, sf_dir).select("pack", F.col("doc_code").alias("doc_id"), T.sentences(F.col("text")).alias("parts"))
-    with_parts = rows.join(docs, ["pack", "doc_id"], "left")
-    parts = with_parts.select("at", F.posexplode("parts").alias("item", "text"))
-    scores = bm25(rows.select(F.col("at").alias("query"), F.col("at").alias("corpus"), F.concat_ws(" ", "question", "label").alias("text")), parts.select(F.col("at").alias("corpus"), "item", "text"))
-    every = parts.join(scores.select(F.col("corpus").alias("at"), "item", "score"), ["at", "item"], "left")
-    best = every.groupBy("at").agg(F.max_by("text", F.struct(F.round(F.coalesce("score", F.lit(0.0)), 6), -F.col("item"))).alias("best"))
-    return rows.select("sample_key", "event_id", "at").join(best, "at", "left").select("sample_key", "event_id", F.substring(F.coalesce("best", F.lit("")), 1, most).alias("excerpt"))
+    docs = docs.withColumn("toks", F.transform("parts", T.tokens))
+    rows = asked.join(c, ["pack", "event_id"]).join(q, "sample_key").join(docs, ["pack", "doc_id"], "left")
+    scores = sentence_scores(F.array_distinct(T.tokens(F.concat_ws(" ", "question", "label"))), F.col("toks"))
+    placed = F.zip_with("parts", scores, lambda p, s: F.struct(F.round(s, 6).alias("score"), p.alias("part")))
+    best = F.aggregate(placed, F.struct(F.lit(-1.0).alias("score"), F.lit("").alias("part")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a), lambda a: a["part"])
+    return rows.select("sample_key", "event_id", F.substring(F.coalesce(best, F.lit("")), 1, most).alias("excerpt"))
 
 
 def within_budget(texts, most: int = 420):
