@@ -37,7 +37,7 @@ def _f1(a: str, b: str) -> str:
 
 _SET = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE 2.0::DOUBLE * len(list_intersect({0}, {1})) / (len({0}) + len({1})) END"
 _STEP = steps("{0}")
-_SCORE = f"""
+SCORE = f"""
 alt1 AS (SELECT p.pred_id, p.sample_key, p.arm, p.chain, unnest(CASE WHEN len(g.chains) > 0 THEN g.chains ELSE [[]::VARCHAR[]] END) AS alt FROM preds1 AS p JOIN gold1 AS g USING (sample_key)),
 chain1 AS (SELECT pred_id, max((alt = chain)::INT)::DOUBLE AS exact, max({_SET.format("chain", "alt")})::DOUBLE AS node_f1, max({_SET.format(steps("chain"), steps("alt"))})::DOUBLE AS edge_f1 FROM alt1 GROUP BY pred_id),
 answer1 AS (SELECT pred_id, max(f) AS char_f1 FROM (SELECT p.pred_id, {_f1("p.answer", "p.ref")} AS f FROM (SELECT p.pred_id, p.answer, unnest(g.answers) AS ref FROM preds1 AS p JOIN gold1 AS g USING (sample_key)) AS p) GROUP BY pred_id),
@@ -81,13 +81,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ["char_f1", "exact", "node_f1", "edge_f1", "refusal_correct", "coverage"]
 
 
-@query(base("SELECT pred_id, round(char_f1, 4) AS char_f1, round(coverage, 4) AS coverage, forbidden_hits FROM score1", _SCORE))
+@query(base("SELECT pred_id, round(char_f1, 4) AS char_f1, round(coverage, 4) AS coverage, forbidden_hits FROM score1", SCORE))
 def char_f1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter F1 with the best reference answer, and facts covered and forbidden, of each prediction."""
     return scores(spark, sf_dir).select("pred_id", F.round("char_f1", 4).alias("char_f1"), F.round("coverage", 4).alias("coverage"), "forbidden_hits")
 
 
-@query(base("SELECT pred_id, exact, round(node_f1, 4) AS node_f1, round(edge_f1, 4) AS edge_f1, refusal_correct FROM score1", _SCORE))
+@query(base("SELECT pred_id, exact, round(node_f1, 4) AS node_f1, round(edge_f1, 4) AS edge_f1, refusal_correct FROM score1", SCORE))
 def chain_f1_best_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain metrics of each prediction against its best whole alternative."""
     return scores(spark, sf_dir).select("pred_id", "exact", F.round("node_f1", 4).alias("node_f1"), F.round("edge_f1", 4).alias("edge_f1"), "refusal_correct")
@@ -98,7 +98,7 @@ def chain_f1_best_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT coalesce(arm, '*') AS arm, coalesce(kind, '*') AS kind, count(*) AS samples, "
         + ", ".join(f"round(avg({v}), 4) AS {v}" for v in _VALUES)
         + ", sum(forbidden_hits)::BIGINT AS forbidden_hits, count(*) FILTER (confidence IS NULL) AS refusals FROM score1 GROUP BY GROUPING SETS ((), (arm), (arm, kind))",
-        _SCORE,
+        SCORE,
     )
 )
 def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"arm": F.coalesce("arm", F.lit("*")), "kind": F.coalesce("kind", F.lit("*"))})
 
 
-@query(base("SELECT arm, level, count(*) AS samples, round(avg(confidence), 4) AS confidence FROM score1 WHERE confidence IS NOT NULL AND level IS NOT NULL GROUP BY arm, level", _SCORE))
+@query(base("SELECT arm, level, count(*) AS samples, round(avg(confidence), 4) AS confidence FROM score1 WHERE confidence IS NOT NULL AND level IS NOT NULL GROUP BY arm, level", SCORE))
 def confidence_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean confidence by gold level."""
     s = scores(spark, sf_dir).where("confidence IS NOT NULL AND level IS NOT NULL")
@@ -120,7 +120,7 @@ def confidence_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLAG_SQL = "list_filter([CASE WHEN len(chain) = 0 THEN 'empty_chain' END, CASE WHEN len(chain) >= 5 THEN 'long_chain' END, CASE WHEN forbidden_hits > 0 THEN 'forbidden_fact' END, CASE WHEN coverage < 1 THEN 'facts_missing' END, CASE WHEN confidence IS NULL THEN 'no_confidence' END], lambda x: x IS NOT NULL)"
 
 
-@query(base(f"SELECT flag, arm, count(*) AS rows, round(avg(char_f1), 4) AS char_f1, round(avg(exact), 4) AS exact FROM (SELECT *, unnest({_FLAG_SQL}) AS flag FROM score1) GROUP BY flag, arm", _SCORE))
+@query(base(f"SELECT flag, arm, count(*) AS rows, round(avg(char_f1), 4) AS char_f1, round(avg(exact), 4) AS exact FROM (SELECT *, unnest({_FLAG_SQL}) AS flag FROM score1) GROUP BY flag, arm", SCORE))
 def risk_flag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by risk flag; a row counts under each of its flags."""
     flags = [("empty_chain", F.size("chain") == 0), ("long_chain", F.size("chain") >= 5), ("forbidden_fact", F.col("forbidden_hits") > 0), ("facts_missing", F.col("coverage") < 1), ("no_confidence", F.col("confidence").isNull())]
@@ -132,7 +132,7 @@ def risk_flag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROXY = "25 * avg(coverage) + 10 * avg(char_f1) + 25 * avg(node_f1) + 7.5 * avg(edge_f1) + 7.5 * avg(exact)"
 
 
-@query(base(f"SELECT arm, round(max(CASE WHEN track = 'A' THEN p END) * 0.6 + max(CASE WHEN track = 'B' THEN p END) * 0.3 + max(CASE WHEN track = 'C' THEN p END) * 0.1, 2) AS weighted, round(max(CASE WHEN track = 'A' THEN p END), 2) AS a, round(max(CASE WHEN track = 'B' THEN p END), 2) AS b, round(max(CASE WHEN track = 'C' THEN p END), 2) AS c FROM (SELECT arm, track, {_PROXY} AS p FROM score1 GROUP BY arm, track) GROUP BY arm", _SCORE))
+@query(base(f"SELECT arm, round(max(CASE WHEN track = 'A' THEN p END) * 0.6 + max(CASE WHEN track = 'B' THEN p END) * 0.3 + max(CASE WHEN track = 'C' THEN p END) * 0.1, 2) AS weighted, round(max(CASE WHEN track = 'A' THEN p END), 2) AS a, round(max(CASE WHEN track = 'B' THEN p END), 2) AS b, round(max(CASE WHEN track = 'C' THEN p END), 2) AS c FROM (SELECT arm, track, {_PROXY} AS p FROM score1 GROUP BY arm, track) GROUP BY arm", SCORE))
 def weighted_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted proxy score of each arm; null where a track is missing."""
     a = F.avg
@@ -160,7 +160,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arm("base", "a").join(arm("guided", "b").drop("kind"), "sample_key")
 
 
-@query(base("SELECT kind, CASE WHEN exact_a = 0 AND exact_b = 1 THEN 'gain' WHEN exact_a = 1 AND exact_b = 0 THEN 'loss' WHEN exact_a = 1 THEN 'both_hit' ELSE 'both_miss' END AS transition, count(*) AS samples, round(avg(f1_b - f1_a), 4) AS f1_delta FROM paired1 GROUP BY ALL", _SCORE + ", " + _PAIRED))
+@query(base("SELECT kind, CASE WHEN exact_a = 0 AND exact_b = 1 THEN 'gain' WHEN exact_a = 1 AND exact_b = 0 THEN 'loss' WHEN exact_a = 1 THEN 'both_hit' ELSE 'both_miss' END AS transition, count(*) AS samples, round(avg(f1_b - f1_a), 4) AS f1_delta FROM paired1 GROUP BY ALL", SCORE + ", " + _PAIRED))
 def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gains and losses of exact chains from the one arm to the other, by kind."""
     rows = _paired(spark, sf_dir).withColumn("transition", M.transitions(F.col("exact_a") == 1, F.col("exact_b") == 1))
@@ -171,7 +171,7 @@ def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base(
         """SELECT count(*) AS replicates, round(avg(m), 4) AS mean, round(min(m), 4) AS low, round(max(m), 4) AS high FROM (
         SELECT rep, avg(delta) AS m FROM (SELECT rep, (('0x' || substr(sha256('7:' || rep || ':' || number), 1, 12))::BIGINT) % n AS draw FROM num1, (SELECT count(*) AS n FROM num1), range(50) AS r(rep)) AS d JOIN num1 ON num1.number = d.draw GROUP BY rep)""",
-        _SCORE
+        SCORE
         + ", "
         + _PAIRED
         + ", num1 AS (SELECT sample_key, f1_b - f1_a AS delta, row_number() OVER (ORDER BY ('0x' || substr(md5(sample_key), 1, 2))::INT, sample_key) - 1 AS number FROM paired1)",
@@ -242,13 +242,13 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupingSets([["track"], ["track", "bucket"]], "track", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("exact").alias("successes")).withColumn("rate", M.smoothed(F.col("successes"), F.col("n")))
 
 
-@query(base("SELECT track, coalesce(bucket, '*') AS bucket, n, s AS successes, round(rate, 4) AS rate FROM rate1", _SCORE + ", " + _RATES))
+@query(base("SELECT track, coalesce(bucket, '*') AS bucket, n, s AS successes, round(rate, 4) AS rate FROM rate1", SCORE + ", " + _RATES))
 def beta_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed success rates by track and chain length."""
     return rates(spark, sf_dir).select("track", F.coalesce("bucket", F.lit("*")).alias("bucket"), "n", "successes", F.round("rate", 4).alias("rate"))
 
 
-@query(base(f"SELECT p.pred_id, CASE WHEN p.answer = '无法确定' THEN NULL ELSE round(CASE WHEN b.n >= 20 THEN b.rate ELSE t.rate END, 4) END AS confidence FROM preds1 AS p LEFT JOIN rate1 AS b ON b.track = p.track AND b.bucket = {_BUCKET.replace('chain', 'p.chain')} LEFT JOIN rate1 AS t ON t.track = p.track AND t.bucket IS NULL", _SCORE + ", " + _RATES))
+@query(base(f"SELECT p.pred_id, CASE WHEN p.answer = '无法确定' THEN NULL ELSE round(CASE WHEN b.n >= 20 THEN b.rate ELSE t.rate END, 4) END AS confidence FROM preds1 AS p LEFT JOIN rate1 AS b ON b.track = p.track AND b.bucket = {_BUCKET.replace('chain', 'p.chain')} LEFT JOIN rate1 AS t ON t.track = p.track AND t.bucket IS NULL", SCORE + ", " + _RATES))
 def calibrated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated confidence: the rate of track and length if twenty samples back it, else the track's."""
     r = cut_lineage(rates(spark, sf_dir))
@@ -263,7 +263,7 @@ def calibrated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     base(
         """SELECT count(*) AS rows, round(avg((x.rate - x.exact) * (x.rate - x.exact)), 4) AS brier FROM (SELECT f.track, f.fold, f.exact, (sum(o.s) + 2) / (sum(o.n) + 4) AS rate FROM fold1 AS f JOIN fsum AS o ON o.track = f.track AND o.fold <> f.fold GROUP BY f.track, f.fold, f.exact, f.pred_id) AS x""",
-        _SCORE
+        SCORE
         + """, fold1 AS (SELECT pred_id, track, exact, ('0x' || substr(sha256(pack), 1, 8))::BIGINT % 5 AS fold FROM score1 WHERE answer <> '无法确定' AND len(chain) > 0),
         fsum AS (SELECT track, fold, sum(exact) AS s, count(*) AS n FROM fold1 GROUP BY ALL)""",
     )
@@ -418,7 +418,7 @@ def output_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"track": F.coalesce("track", F.lit("*")), "kind": F.coalesce("kind", F.lit("*"))})
 
 
-@query(base("SELECT pred_id, arm, round(node_f1, 4) AS node_f1 FROM score1 ORDER BY node_f1, pred_id LIMIT 30", _SCORE))
+@query(base("SELECT pred_id, arm, round(node_f1, 4) AS node_f1 FROM score1 ORDER BY node_f1, pred_id LIMIT 30", SCORE))
 def worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thirty predictions of the lowest node F1."""
     return scores(spark, sf_dir).orderBy(F.round("node_f1", 4), "pred_id").limit(30).select("pred_id", "arm", F.round("node_f1", 4).alias("node_f1"))
