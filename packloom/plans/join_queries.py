@@ -9,7 +9,7 @@ from packloom.functions import text as T
 from packloom.operators import checks as K
 from packloom.plans.sql import base, steps
 from packloom.sources import relations as R
-from packloom.sources.tables import canonical_sample_id, table
+from packloom.sources.tables import canonical_sample_id, epoch_micros, table
 from packloom.streaming.idle_gate import idle_gate as gate
 
 QUERIES: dict = {}
@@ -190,5 +190,4 @@ def chain_inner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idle_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of twelve hours or more in which no event of a user exceeds a value."""
     runs = gate(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value", 20.0, 43200)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return runs.select("user_id", micros("run_start").alias("start_us"), micros("run_end").alias("end_us"), "samples")
+    return runs.select("user_id", epoch_micros(runs, "run_start").alias("start_us"), epoch_micros(runs, "run_end").alias("end_us"), "samples")

@@ -25,3 +25,11 @@ def canonical_digest(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)^[^:]*:\s*", "")
     return F.nullif(bare, F.lit(""))
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column; times without a zone count as UTC whatever the session's zone is."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] == "timestamp_ntz":
+        c = F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+    return F.unix_micros(c.cast("timestamp"))
