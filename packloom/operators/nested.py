@@ -141,6 +141,7 @@ class Store:
         relations are written once to the checkpoint folder.
         """
         col = F.col(payload) if isinstance(payload, str) else payload
+        # Equal rows below one parent are equal in all columns, so plain distinct rows are the distinct places.
         rows = cut_lineage(df.select(F.col(record).cast("bigint"), col).mapInArrow(_shredder, EDGE))
         self.roots = rows.where("kind = 'root'").select(F.col("root_id").alias(record), F.col("child").alias("root"))
         self._edges = rows.where("kind NOT IN ('root', 'self', 'empty')").drop("root_id")
@@ -149,7 +150,7 @@ class Store:
     @property
     def edges(self) -> DataFrame:
         """Bridge rows, one for each place below each distinct parent."""
-        return self._edges.dropDuplicates(["parent", "ordinal"])
+        return self._edges.distinct()
 
     @property
     def nodes(self) -> DataFrame:
@@ -158,11 +159,15 @@ class Store:
 
     def members(self, *names: str) -> DataFrame:
         """The edges of the given members."""
-        return self._edges.where(F.col("member").isin(*names)).dropDuplicates(["parent", "ordinal"])
+        return self._edges.where(F.col("member").isin(*names)).distinct()
 
     def elements(self) -> DataFrame:
         """The edges of arrays."""
-        return self._edges.where(F.col("member").isNull()).dropDuplicates(["parent", "ordinal"])
+        return self._edges.where(F.col("member").isNull()).distinct()
+
+    def objects(self) -> DataFrame:
+        """The edges that lead to objects."""
+        return self._edges.where("kind = 'object'").distinct()
 
 
 def whole_number(text: Column) -> Column:
@@ -211,7 +216,7 @@ def run_log_children(store: Store, record: str = "record_id") -> DataFrame:
     below = chains.unionByName(usage)
     # Groups of a record.
     groups = _step(store.roots, "root", store.members("groups"), [record], "g")
-    inside = _step(groups, "g", store._edges.dropDuplicates(["parent", "ordinal"]), [record], "h").where("h_kind = 'object'")
+    inside = _step(groups, "g", store.objects(), [record], "h")
     totals = store.members("all").where("kind IN ('text', 'number')").select(F.col("parent").alias("h"), F.col("value").alias("total"))
     names = store.members("name").where("kind = 'text'").select(F.col("parent").alias("h"), F.col("value").alias("own_name"))
     group = totals.join(names, "h", "left").withColumn("total", whole_number(F.col("total"))).where("total IS NOT NULL")
