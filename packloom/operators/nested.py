@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.operators.skew import salted_join
-from packloom.session import cut_lineage
+from packloom.session import write_shared
 
 #: Identities a task remembers so as not to send a subtree again; beyond it the shuffle removes the repeats.
 REMEMBER = 200_000
@@ -138,11 +138,11 @@ class Store:
 
         Null, broken, empty and non-object payloads give nothing. Text that holds a JSON object or array counts as that
         object or array, at any depth. Payloads nested deeper than the interpreter's stack give nothing either. The
-        relations are written once to the checkpoint folder.
+        relations are written once to the checkpoint folder, by kind, so that a step of a path reads the kinds it needs.
         """
         col = F.col(payload) if isinstance(payload, str) else payload
         # Equal rows below one parent are equal in all columns, so plain distinct rows are the distinct places.
-        rows = cut_lineage(df.select(F.col(record).cast("bigint"), col).mapInArrow(_shredder, EDGE))
+        rows = write_shared(df.select(F.col(record).cast("bigint"), col).mapInArrow(_shredder, EDGE), "kind")
         self.roots = rows.where("kind = 'root'").select(F.col("root_id").alias(record), F.col("child").alias("root"))
         self._edges = rows.where("kind NOT IN ('root', 'self', 'empty')").drop("root_id")
         self._nodes = rows.where("kind IN ('self', 'empty')").select(F.col("parent").alias("node"))
@@ -194,15 +194,15 @@ def run_log_children(store: Store, record: str = "record_id") -> DataFrame:
     """
     elements = store.elements()
     # Attempt objects in their records.
-    top = _step(store.roots, "root", store.members("attempts"), [record], "a")
+    top = _step(store.roots, "root", store.members("attempts"), [record], "a").where("a_kind IN ('object', 'array')")
     lone = top.where("a_kind = 'object'").select(record, F.lit(0).alias("parent_pos"), F.col("a").alias("node"))
     many = _step(top.where("a_kind = 'array'"), "a", elements, [record], "e").where("e_kind = 'object'").select(record, F.col("e_pos").alias("parent_pos"), F.col("e").alias("node"))
     at = lone.unionByName(many)
     # Below a distinct attempt: the chain.
     parsed = store.members("parsed").where("kind = 'object'").select(F.col("parent").alias("node"), F.col("child").alias("p"))
-    chain = _step(parsed, "p", store.members("evidence_chain"), ["node"], "c")
+    chain = _step(parsed, "p", store.members("evidence_chain"), ["node"], "c").where("c_kind IN ('text', 'array', 'object')")
     bare = chain.where("c_kind = 'text'").select("node", F.lit(0).alias("pos"), F.col("c_value").alias("item"))
-    listed = _step(chain.where("c_kind = 'array'"), "c", elements, ["node"], "x")
+    listed = _step(chain.where("c_kind = 'array'"), "c", elements, ["node"], "x").where("x_kind IN ('text', 'number', 'object')")
     plain = listed.where("x_kind IN ('text', 'number')").select("node", F.col("x_pos").alias("pos"), F.col("x_value").alias("item"))
     named = _step(listed.where("x_kind = 'object'").withColumn("pos", F.col("x_pos")), "x", store.members("event_id"), ["node", "pos"], "i")
     named = named.unionByName(_step(chain.where("c_kind = 'object'").withColumn("pos", F.lit(0)), "c", store.members("event_id"), ["node", "pos"], "i").withColumnRenamed("c", "x"))
@@ -215,7 +215,7 @@ def run_log_children(store: Store, record: str = "record_id") -> DataFrame:
     usage = tokens.select("node", F.lit("usage").alias("child"), F.lit(0).alias("pos"), whole_number(F.col("n_value")).alias("item")).where("item IS NOT NULL")
     below = chains.unionByName(usage)
     # Groups of a record.
-    groups = _step(store.roots, "root", store.members("groups"), [record], "g")
+    groups = _step(store.roots, "root", store.members("groups"), [record], "g").where("g_kind IN ('object', 'array')")
     inside = _step(groups, "g", store.objects(), [record], "h")
     totals = store.members("all").where("kind IN ('text', 'number')").select(F.col("parent").alias("h"), F.col("value").alias("total"))
     names = store.members("name").where("kind = 'text'").select(F.col("parent").alias("h"), F.col("value").alias("own_name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,23 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder all executors share and read it from there.
-
-    The folder is the one ``spark.checkpoint.dir`` names; only where that is unset (tests, local
-    runs) a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where that is unset (tests, local runs)."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="packloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_shared(df: DataFrame, by: str) -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table partitioned by a column: for relations read several times, each time in part."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
