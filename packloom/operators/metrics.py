@@ -55,30 +55,29 @@ def transitions(a: Column, b: Column) -> Column:
     return F.when(~a & b, "gain").when(a & ~b, "loss").when(a & b, "both_hit").otherwise("both_miss")
 
 
-def bootstrap_sums(rows: DataFrame, key: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """``(rep, n, total)``: sums of as many values as there are rows, drawn with replacement by a digest of seed, replicate and place.
+def bootstrap_sums(rows: DataFrame, key: str, value: str, replicates: int, seed: int, stratum: str | None = None) -> DataFrame:
+    """``(stratum, rep, n, total)``: sums of as many values as a stratum has rows, drawn with replacement by a digest of seed, replicate and place.
 
-    ``rows`` are numbered by key in buckets, not in one task; each replicate draws a row number from the digest. Draws join values by
-    number: replicates times rows go through one shuffle and are summed before the next.
+    Without ``stratum`` all rows are one, named by the empty text. ``rows`` are numbered by key in buckets, not in one task; each replicate draws
+    row numbers from the digest. Draws join values by number: replicates times rows go through one shuffle and are summed before the next.
     """
-    spark = rows.sparkSession
-    numbered = numbered_rows(rows.where(F.col(value).isNotNull()), key)
-    n = numbered.count()
-    if not n:
-        return spark.createDataFrame([], "rep int, n bigint, total double")
-    draws = numbered.select("number", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    own = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), (F.lit("") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("stratum"))
+    numbered = numbered_rows(own, "k", group="stratum")
+    sizes = own.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    draws = numbered.select("stratum", "number").join(sizes, "stratum").select("stratum", "number", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     digest = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "number"), 256), 1, 12), 16, 10).cast("bigint")
-    draws = draws.select("rep", (digest % n).alias("number"))
-    return draws.join(numbered.select("number", value), "number").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    draws = draws.select("stratum", "rep", (digest % F.col("n")).alias("number"))
+    return draws.join(numbered.select("stratum", "number", "v"), ["stratum", "number"]).groupBy("stratum", "rep").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
-def numbered_rows(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """``rows`` with ``number`` from 0 in the order of (bucket of the key's digest, key); only the buckets' sizes meet in one task."""
+def numbered_rows(rows: DataFrame, key: str, buckets: int = 256, group: str | None = None) -> DataFrame:
+    """``rows`` with ``number`` from 0, in each group, in the order of (bucket of the key's digest, key); only the buckets' sizes meet in one task."""
+    g = [] if group is None else [group]
     hashed = rows.withColumn("__b", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 2), 16, 10).cast("int") % buckets)
-    sizes = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__at"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1
-    return hashed.withColumn("__p", place).join(F.broadcast(offsets), "__b").withColumn("number", F.col("__at") + F.col("__p")).drop("__b", "__p", "__at")
+    sizes = hashed.groupBy(*g, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select(*g, "__b", (F.sum("__n").over(Window.partitionBy(*g).orderBy("__b")) - F.col("__n")).alias("__at"))
+    place = F.row_number().over(Window.partitionBy(*g, "__b").orderBy(key)) - 1
+    return hashed.withColumn("__p", place).join(offsets, [*g, "__b"]).withColumn("number", F.col("__at") + F.col("__p")).drop("__b", "__p", "__at")
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, percents: list[int]) -> DataFrame:

@@ -462,3 +462,42 @@ def attempt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed attempts by arm and kind."""
     a = table(spark, sf_dir, "attempts").where("parsed IS NOT NULL")
     return a.groupBy("arm", F.coalesce("parsed.question_type", F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(canonical_sample_id("sample_id")).alias("samples"), F.round(F.avg("parsed.confidence"), 4).alias("confidence"))
+
+
+@query(
+    base(
+        """SELECT kind AS stratum, count(*) AS replicates, round(avg(m), 4) AS mean, round(min(m), 4) AS low, round(max(m), 4) AS high FROM (
+        SELECT d.kind, rep, avg(delta) AS m FROM (SELECT kind, rep, (('0x' || substr(sha256('9:' || rep || ':' || number), 1, 12))::BIGINT) % (count(*) OVER (PARTITION BY kind, rep)) AS draw FROM num2, range(30) AS r(rep)) AS d JOIN num2 ON num2.kind = d.kind AND num2.number = d.draw GROUP BY d.kind, rep) GROUP BY kind""",
+        SCORE
+        + ", "
+        + _PAIRED
+        + ", num2 AS (SELECT coalesce(kind, '') AS kind, sample_key, f1_b - f1_a AS delta, row_number() OVER (PARTITION BY coalesce(kind, '') ORDER BY ('0x' || substr(md5(sample_key), 1, 2))::INT, sample_key) - 1 AS number FROM paired1)",
+    )
+)
+def bootstrap_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean difference of the arms' letter F1 over thirty resamples inside each kind."""
+    rows = cut_lineage(_paired(spark, sf_dir).select("sample_key", "kind", (F.col("f1_b") - F.col("f1_a")).alias("delta")))
+    means = M.bootstrap_sums(rows, "sample_key", "delta", 30, 9, "kind").select("stratum", (F.col("total") / F.col("n")).alias("m"))
+    return means.groupBy("stratum").agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("m"), 4).alias("mean"), F.round(F.min("m"), 4).alias("low"), F.round(F.max("m"), 4).alias("high"))
+
+
+@query(base("SELECT p.pred_id, (p.answer = '无法确定') = (len(list_filter(g.chains, lambda x: len(x) > 0)) = 0 AND (list_contains(g.answers, '无法确定') OR list_contains(g.answers, 'undetermined'))) AS strict_correct FROM preds1 AS p JOIN gold1 AS g USING (sample_key)"))
+def strict_refusal_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a prediction refuses exactly where gold has neither a chain nor another answer than the refusal."""
+    none = F.size(F.filter("chains", lambda c: F.size(c) > 0)) == 0
+    g = R.gold(spark, sf_dir).select("sample_key", (none & (F.array_contains("answers", "无法确定") | F.array_contains("answers", "undetermined"))).alias("strict"))
+    return R.predictions(spark, sf_dir).join(g, "sample_key").select("pred_id", ((F.col("answer") == M.REFUSAL) == F.col("strict")).alias("strict_correct"))
+
+
+_SET_COSINE = r"coalesce(len(list_intersect({0}, {1})) / nullif(sqrt(len({0}) * len({1})), 0), 0.0)"
+_IDEOGRAPHS = r"list_distinct(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]'))"
+
+
+@query(base(f"SELECT pred_id, round(avg((round({_SET_COSINE.format('a', 'b')}, 6) >= 0.7)::INT), 4) AS coverage FROM (SELECT pred_id, {_IDEOGRAPHS.format('answer')} AS a, {_IDEOGRAPHS.format('fact')} AS b FROM (SELECT p.pred_id, p.answer, unnest(g.required) AS fact FROM preds1 AS p JOIN gold1 AS g USING (sample_key))) GROUP BY pred_id"))
+def fact_cosine_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of required facts whose cosine with the answer is 0.7 or more; sets of ideographs stand for an encoder's vectors."""
+    chars = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([\x{4e00}-\x{9fff}])"), F.lit(1)))
+    g = R.gold(spark, sf_dir).select("sample_key", F.explode("required").alias("fact"))
+    rows = R.predictions(spark, sf_dir).join(g, "sample_key").select("pred_id", chars(F.col("answer")).alias("a"), chars(F.col("fact")).alias("b"))
+    cosine = F.coalesce(F.size(F.array_intersect("a", "b")) / F.nullif(F.sqrt(F.size("a") * F.size("b")), F.lit(0.0)), F.lit(0.0))
+    return rows.groupBy("pred_id").agg(F.round(F.avg((F.round(cosine, 6) >= 0.7).cast("int")), 4).alias("coverage"))
