@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
+from packloom.operators.skew import salted_join
+from packloom.session import cut_lineage
 from packloom.sources import relations as R
 
 K1, B = 1.2, 0.75
@@ -20,15 +22,22 @@ def bm25(queries: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``queries(query, corpus, text)``, ``texts(corpus, item, text)``. Statistics are those of the corpus alone; a query's
     terms are a set; lengths count all tokens, pairs too. Items that share no term with the query give no row (their score
-    is zero). Frequencies are combined before the shuffle, and only terms that a query of the corpus has go on to it.
+    is zero); null texts count as empty. Texts meet the different terms that their corpus is asked for, are tokenised once in that row, and
+    only the counts of such terms go on; rows of hot corpora are split.
     """
-    own = texts.select("corpus", "item", T.tokens(F.coalesce("text", F.lit(""))).alias("toks")).withColumn("length", F.size("toks"))
-    stats = own.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.when(F.sum("length") == 0, F.lit(1.0)).otherwise(F.avg("length")).alias("mean"))
     asked = queries.select("query", "corpus", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    wanted = asked.select("corpus", "term").distinct()
-    tf = own.select("corpus", "item", "length", F.explode("toks").alias("term")).groupBy("corpus", "term", "item", "length").agg(F.count(F.lit(1)).alias("tf"))
-    # The optimizer takes this semi join below the aggregation, so tokens that no query has are gone before the shuffle.
-    tf = tf.join(wanted, ["corpus", "term"], "left_semi")
+    wanted = asked.groupBy("corpus").agg(F.collect_set("term").alias("wanted"))
+    met = salted_join(texts.select("corpus", "item", "text"), wanted, "corpus", ["item"], "inner")
+
+    def counts(x: Column) -> Column:
+        found = F.array_intersect(x["w"], x["t"])
+        of = F.transform(found, lambda term: F.struct(term.alias("term"), F.size(F.filter(x["t"], lambda y: y == term)).alias("tf")))
+        return F.struct(F.size(x["t"]).alias("length"), of.alias("terms"))
+
+    row = T.let(F.struct(F.col("wanted").alias("w"), T.tokens(F.coalesce("text", F.lit(""))).alias("t")), counts)
+    counted = cut_lineage(met.select("corpus", "item", row.alias("x")).select("corpus", "item", "x.length", "x.terms"))
+    stats = counted.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.when(F.sum("length") == 0, F.lit(1.0)).otherwise(F.avg("length")).alias("mean"))
+    tf = counted.select("corpus", "item", "length", F.inline("terms"))
     df = tf.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(df, ["corpus", "term"]).join(stats, "corpus")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -50,7 +59,7 @@ def ranked_candidates(spark: SparkSession, sf_dir: str, weight: float = 1.0, sem
     best = F.max("score").over(Window.partitionBy("sample_key"))
     out = every.select("sample_key", "pack", "ord", "event_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.round(F.coalesce(F.col("score") / F.nullif(best, F.lit(0.0)), F.lit(0.0)), 6).alias("relevance"))
     if semantic is not None:
-        out = out.join(semantic, ["sample_key", "event_id"], "left").withColumn("relevance", F.round(weight * F.col("relevance") + (1 - weight) * F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))), 6)).drop("cosine")
+        out = out.join(semantic, ["sample_key", "event_id"], "left").withColumn("relevance", F.round(weight * F.col("relevance") + (1 - weight) * F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))), 8)).drop("cosine")
     return out.withColumn("rnk", F.row_number().over(Window.partitionBy("sample_key").orderBy(F.desc("relevance"), "ord", "event_id")))
 
 

@@ -42,7 +42,7 @@ _CHARS = r"list_distinct(regexp_extract_all({}, '[\x{{4e00}}-\x{{9fff}}]'))"
 @query(
     base(
         rf"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY hybrid DESC, ord, event_id) AS rnk FROM (
-          SELECT r.sample_key, r.ord, r.event_id, round(0.45 * r.relevance + 0.55 * coalesce(len(list_intersect(a, b)) / nullif(sqrt(len(a) * len(b)), 0), 0.0), 6) AS hybrid
+          SELECT r.sample_key, r.ord, r.event_id, round(0.45 * r.relevance + 0.55 * coalesce(len(list_intersect(a, b)) / nullif(sqrt(len(a) * len(b)), 0), 0.0), 8) AS hybrid
           FROM ranked AS r JOIN (SELECT sample_key, {_CHARS.format("question")} AS a FROM questions1) USING (sample_key)
           JOIN (SELECT pack, event_id, {_CHARS.format("text")} AS b FROM cand) AS c ON c.pack = r.pack AND c.event_id = r.event_id)) WHERE rnk <= 5"""
     )
