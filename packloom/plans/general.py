@@ -49,7 +49,7 @@ QUERIES = {"p2_found": p2_found, "p2_kept": p2_kept, "p4_found": p4_found, "p4_s
 _KEYED = r"""
 WITH a AS (
   SELECT delivery_id, batch_id, lower(regexp_replace(sample_id, '^\s+|\s+$', '', 'g')) AS sample_key,
-         nullif(regexp_replace(lower(regexp_replace(input_sha256, '^\s+|\s+$', '', 'g')), '^[^:]*:\s*', ''), '') AS digest
+         nullif(regexp_replace(lower(regexp_replace(input_sha256, '^\s+|\s+$', '', 'g')), '^(?:[^:=]*[:=]|sha-?[0-9]+[-_\s])\s*', ''), '') AS digest
   FROM attempts),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_key, digest ORDER BY delivery_id) AS nth FROM a)
 """

@@ -18,12 +18,12 @@ def canonical_sample_id(col: Column | str) -> Column:
 
 
 def canonical_digest(col: Column | str) -> Column:
-    """Digests denote the same thing regardless of case, blanks and a naming prefix such as ``sha256:``.
+    """Digests denote the same thing regardless of case, blanks and a naming prefix such as ``sha256:``, ``sha256=`` or ``sha-256 ``.
 
     A digest of nothing but blanks counts as null.
     """
     c = F.col(col) if isinstance(col, str) else col
-    bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)^[^:]*:\s*", "")
+    bare = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)^(?:[^:=]*[:=]|sha-?[0-9]+[-_\s])\s*", "")
     return F.nullif(bare, F.lit(""))
 
 

@@ -54,6 +54,13 @@ def test_surplus_with_nulls_spellings_and_a_hot_identity(spark):
     assert kept.count() == len(rows) - len(brute(rows))
 
 
+def test_names_of_digests(spark):
+    d = "0a" * 32
+    forms = [d, f"sha256:{d}", f"SHA-256 {d}", f"sha256={d}", f" sha256-{d.upper()} ", f"sha_256: {d}"]
+    df = spark.createDataFrame([(f,) for f in forms], "d string")
+    assert {r[0] for r in df.select(canonical_digest("d")).collect()} == {d}
+
+
 def test_ties_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "x"), (3, "b", "")], "id bigint, s string, d string")
     keys = [canonical_sample_id("s"), canonical_digest("d")]
