@@ -36,10 +36,10 @@ _NONE = np.uint32(0xFFFFFFFF)
 
 def letters(text: str) -> str:
     """Letters and digits of ``text`` in one case and width, without markup, punctuation and invisible characters."""
-    if "<" in text:
-        text = _MARKUP.sub("", text)
     if "&" in text:
         text = html.unescape(text)
+    if "<" in text:
+        text = _MARKUP.sub("", text)
     return _OTHER.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 

@@ -61,6 +61,10 @@ def test_search_against_brute_force(spark):
     assert len(want & got) >= 0.99 * len(want)
 
 
+def test_letters():
+    assert letters("甲<b>乙</b>&lt;br/&gt;丙&nbsp;Ａ-1 **b**​") == "甲乙丙a1b"
+
+
 def test_empty_tables_and_widths(spark):
     docs, items = spark.createDataFrame([], "d bigint, t string"), spark.createDataFrame([], "i bigint, t string")
     assert leaked(docs, "d", "t", items, "i", "t").count() == 0
