@@ -11,7 +11,7 @@ from packloom.operators.retrieval import bm25, known_anchors, ranked_candidates
 from packloom.session import cut_lineage
 from packloom.sources import relations as R
 
-#: Nodes of the longest path, and paths of a pack beyond which enumeration fails rather than leaving some out.
+#: Nodes of the longest path of a search from the roots, and paths of a pack beyond which enumeration fails rather than leaving some out.
 MOST_NODES, MOST_PATHS = 12, 100_000
 
 
@@ -23,20 +23,23 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.events(spark, sf_dir).select("pack", "event_id").join(n, ["pack", "event_id"], "left").na.fill(0, ["indegree", "outdegree"])
 
 
-def simple_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODES, most_paths: int = MOST_PATHS) -> DataFrame:
-    """``(pack, path)``: every single event and every directed path without repeats, of at most ``most_nodes`` events.
+def simple_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None, most_paths: int = MOST_PATHS) -> DataFrame:
+    """``(pack, path)``: every single event and every directed path without repeats; with ``most_nodes``, those of at most so many events.
 
     ``nodes(pack, event_id)``, ``edges(pack, src, dst)``. Each hop is one join on pack and event; it ends when no path grows.
-    A pack of more than ``most_paths`` paths raises an error; nothing is left out silently.
+    A pack of more than ``most_paths`` paths raises an error, at the hop that goes beyond it; nothing is left out silently.
     """
     links = cut_lineage(edges.select("pack", F.col("src").alias("last"), "dst").distinct())
     front = nodes.select("pack", F.array("event_id").alias("path"), F.col("event_id").alias("last")).distinct()
     levels = [front]
-    for _ in range(most_nodes - 1):
+    while most_nodes is None or len(levels) < most_nodes:
         front = front.join(links, ["pack", "last"]).where(~F.array_contains("path", F.col("dst"))).select("pack", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
         front = cut_lineage(front)
-        if not front.limit(1).count():
+        grown = front.groupBy("pack").count().orderBy(F.desc("count")).first()
+        if grown is None:
             break
+        if grown["count"] > most_paths:
+            raise ValueError(f"more than {most_paths} paths in pack {grown['pack']}")
         levels.append(front)
     out = levels[0]
     for x in levels[1:]:
@@ -47,9 +50,9 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int = MOST_NODE
     return out.select("pack", "path")
 
 
-def pack_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All simple paths of all packs with events."""
-    return simple_paths(R.events(spark, sf_dir), R.edges(spark, sf_dir))
+def pack_paths(spark: SparkSession, sf_dir: str, most_nodes: int | None = None) -> DataFrame:
+    """All simple paths of all packs with events; with ``most_nodes``, those of at most so many events."""
+    return simple_paths(R.events(spark, sf_dir), R.edges(spark, sf_dir), most_nodes)
 
 
 def joined(path: Column | str) -> Column:
@@ -70,13 +73,13 @@ def path_strength(paths: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.join(known, ["pack", "src", "dst"], "left").groupBy("pack", "path").agg(F.round(F.sum(F.coalesce("w", F.lit(0.5))), 6).alias("strength"))
 
 
-def question_paths(spark: SparkSession, sf_dir: str, relevance: DataFrame, most_nodes: int = 10) -> DataFrame:
+def question_paths(spark: SparkSession, sf_dir: str, relevance: DataFrame, most_nodes: int | None = None) -> DataFrame:
     """``(sample_key, pack, path, mean, first, last, best)``: each question's pack's paths with their nodes' relevance.
 
     ``relevance(sample_key, event_id, relevance)``; a node without one counts 0.
     """
     asked = R.questions(spark, sf_dir).select("sample_key", "pack")
-    rows = asked.join(pack_paths(spark, sf_dir).where(F.size("path") <= most_nodes), "pack")
+    rows = asked.join(pack_paths(spark, sf_dir, most_nodes), "pack")
     nodes = rows.select("sample_key", "pack", "path", F.explode("path").alias("event_id")).join(relevance, ["sample_key", "event_id"], "left")
     value = F.coalesce("relevance", F.lit(0.0))
     at = lambda c: F.max(F.when(F.col("event_id") == c, value))
@@ -93,7 +96,7 @@ def conditioned_paths(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataF
     """
     rel = ranked_candidates(spark, sf_dir).select("sample_key", "event_id", "relevance")
     q = R.questions(spark, sf_dir).select("sample_key", "question", "kind").join(known_anchors(spark, sf_dir).select("sample_key", "ids"), "sample_key")
-    rows = question_paths(spark, sf_dir, rel).where(F.size("path") >= 2).join(q, "sample_key")
+    rows = question_paths(spark, sf_dir, rel, 10).where(F.size("path") >= 2).join(q, "sample_key")
     intent = T.question_intent(F.col("question"), F.col("kind"), F.col("ids"))
     begin, end, n = F.element_at("path", 1), F.element_at("path", -1), F.size("path")
     one, other = F.try_element_at("ids", F.lit(1)), F.try_element_at("ids", F.lit(-1))
@@ -126,7 +129,7 @@ def semantic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sample_key, pack, path, score)``: roles, anchors, relevance and length of every path, added up."""
     q = R.questions(spark, sf_dir).select("sample_key", "question").join(known_anchors(spark, sf_dir).select("sample_key", "ids"), "sample_key")
-    rows = question_paths(spark, sf_dir, semantic_relevance(spark, sf_dir), MOST_NODES).join(q, "sample_key")
+    rows = question_paths(spark, sf_dir, semantic_relevance(spark, sf_dir)).join(q, "sample_key")
     question, ids, n = F.col("question"), F.col("ids"), F.size("path")
     zero = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     roles = 1.5 * zero(T.role(question, ids, "start") == F.element_at("path", 1)) + 1.5 * zero(T.role(question, ids, "end") == F.element_at("path", -1))

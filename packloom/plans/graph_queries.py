@@ -66,7 +66,7 @@ def paths_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = G.degrees(spark, sf_dir).withColumn("free", F.sum((F.col("indegree") == 0).cast("int")).over(Window.partitionBy("pack")))
     roots = d.where("indegree = 0 OR free = 0").select("pack", F.col("event_id").alias("begin"))
     target = known_anchors(spark, sf_dir).where(F.size("ids") > 0).select("sample_key", "pack", F.element_at("ids", -1).alias("end"))
-    paths = G.pack_paths(spark, sf_dir).select("pack", "path", F.element_at("path", 1).alias("begin"), F.element_at("path", -1).alias("end"))
+    paths = G.pack_paths(spark, sf_dir, G.MOST_NODES).select("pack", "path", F.element_at("path", 1).alias("begin"), F.element_at("path", -1).alias("end"))
     return target.join(paths, ["pack", "end"]).join(roots, ["pack", "begin"], "left_semi").select("sample_key", G.joined("path").alias("path"))
 
 
@@ -275,7 +275,7 @@ def selected_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     d = G.degrees(spark, sf_dir).withColumn("free", F.sum((F.col("indegree") == 0).cast("int")).over(Window.partitionBy("pack")))
     roots = d.where("indegree = 0 OR free = 0").select("pack", F.col("event_id").alias("begin"))
-    paths = cut_lineage(G.pack_paths(spark, sf_dir))
+    paths = cut_lineage(G.pack_paths(spark, sf_dir, G.MOST_NODES))
     strong = G.path_strength(paths, R.pair_levels(spark, sf_dir))
     rooted = paths.select("pack", "path", F.element_at("path", 1).alias("begin"), F.element_at("path", -1).alias("target")).join(roots, ["pack", "begin"], "left_semi").join(strong, ["pack", "path"], "left")
     tp = t.join(with_edges, "pack", "left_semi").join(rooted, ["pack", "target"])

@@ -70,6 +70,15 @@ def test_paths_against_brute_force_and_the_cap(spark):
     assert graph.simple_paths(n.limit(0), e.limit(0)).count() == 0
 
 
+def test_paths_have_no_bound_of_length_unless_asked(spark):
+    nodes = [f"D{i:03d}" for i in range(16)]
+    n = spark.createDataFrame([("x", x) for x in nodes], "pack string, event_id string")
+    e = spark.createDataFrame([("x", a, b) for a, b in zip(nodes, nodes[1:])], "pack string, src string, dst string")
+    got = {tuple(r["path"]) for r in graph.simple_paths(n, e).collect()}
+    assert got == brute_paths(nodes, set(zip(nodes, nodes[1:]))) and max(map(len, got)) == 16
+    assert {tuple(r["path"]) for r in graph.simple_paths(n, e, 12).collect()} == {p for p in got if len(p) <= 12}
+
+
 def test_diversity_is_greedy_with_its_ties(spark):
     paths = [(["D001", "D002"], 1.0), (["D001", "D002", "D003"], 1.0), (["D004"], 0.9), (["D005"], 0.9)]
     df = spark.createDataFrame([("s", p, s) for p, s in paths], "sample_key string, path array<string>, score double")
