@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
+from packloom.session import cut_lineage
 
 REFUSAL = "无法确定"
 
@@ -70,6 +75,42 @@ def bootstrap_sums(rows: DataFrame, key: str, value: str, replicates: int, seed:
     return draws.join(numbered.select("stratum", "number", "v"), ["stratum", "number"]).groupBy("stratum", "rep").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
 
 
+def bootstrap_means(rows: DataFrame, key: str, value: str, replicates: int, seed: int, stratum: str | None = None, chunk: int = 4096) -> DataFrame:
+    """``(stratum, rep, n, total)`` like ``bootstrap_sums``, for thousands of replicates: draws never leave the task that makes them.
+
+    Each stratum's values lie in chunks of about ``chunk`` rows, by a digest of the key. How many of a replicate's draws fall to each chunk
+    is one multinomial draw over the chunks' sizes; inside a chunk they are drawn evenly with replacement. That is the plain bootstrap.
+    Generators are seeded by seed, stratum and replicate or chunk. Only a replicate's count and sum in each chunk are shuffled.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), (F.lit("") if stratum is None else F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("stratum"))
+    sizes = own.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    values = cut_lineage(own.join(sizes, "stratum").select("stratum", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk"), "k", "v"))
+    held = values.groupBy("stratum", "chunk").agg(F.count(F.lit(1)).alias("rows"))
+    lists = held.groupBy("stratum").agg(F.sort_array(F.collect_list(F.struct("chunk", "rows"))).alias("chunks"))
+    blocks = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 100))))
+
+    def allot(batches):
+        for pdf in batches:
+            for name, chunks, block in zip(pdf["stratum"], pdf["chunks"], pdf["block"]):
+                size = np.array([c["rows"] for c in chunks])
+                share, label = size / size.sum(), zlib.crc32(name.encode())
+                reps = range(100 * block, min(replicates, 100 * block + 100))
+                takes = np.array([np.random.default_rng([seed, label, r]).multinomial(size.sum(), share) for r in reps])
+                yield pd.DataFrame({"stratum": name, "chunk": np.tile([c["chunk"] for c in chunks], len(reps)), "rep": np.repeat(list(reps), len(chunks)), "take": takes.ravel()})
+
+    def draw(key: tuple, held: pd.DataFrame, takes: pd.DataFrame) -> pd.DataFrame:
+        v = held.sort_values("k")["v"].to_numpy()
+        rng = np.random.default_rng([seed, zlib.crc32(key[0].encode()), replicates + int(key[1])])
+        takes = takes.sort_values("rep")
+        total = [v[rng.integers(0, len(v), t, dtype=np.int32)].sum() for t in takes["take"]]
+        return pd.DataFrame({"stratum": key[0], "rep": takes["rep"], "n": takes["take"], "total": total})
+
+    takes = blocks.repartition(F.col("stratum"), F.col("block")).mapInPandas(allot, "stratum string, chunk int, rep int, take long")
+    by = ["stratum", "chunk"]
+    drawn = values.groupBy(*by).cogroup(takes.groupBy(*by)).applyInPandas(draw, "stratum string, rep int, n long, total double")
+    return drawn.groupBy("stratum", "rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def numbered_rows(rows: DataFrame, key: str, buckets: int = 256, group: str | None = None) -> DataFrame:
     """``rows`` with ``number`` from 0, in each group, in the order of (bucket of the key's digest, key); only the buckets' sizes meet in one task."""
     g = [] if group is None else [group]

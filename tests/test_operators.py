@@ -120,6 +120,19 @@ def test_alternatives(spark):
     assert got == pytest.approx([0.0, 0.8, 2 / 3, 1.0, 1.0, 1.0, 0.0, 0.0, 1.0])
 
 
+def test_bootstrap_over_chunks_has_the_spread_of_the_mean(spark):
+    rng = random.Random(5)
+    rows = [(f"k{i}", s, rng.gauss(m, 1.0)) for s, m in (("a", 0.0), ("b", 3.0)) for i in range(300)] + [("one", "c", 2.0)]
+    df = spark.createDataFrame(rows, "k string, s string, v double")
+    got = metrics.bootstrap_means(df, "k", "v", 10_000, 3, "s", chunk=64).toPandas()
+    for s, n in (("a", 300), ("b", 300), ("c", 1)):
+        g, v = got[got.stratum == s], [x for _, t, x in rows if t == s]
+        m, mean = (g.total / g.n).sort_values().tolist(), sum(v) / n
+        assert sorted(g.rep) == list(range(10_000)) and set(g.n) == {n}
+        sd = (sum((x - mean) ** 2 for x in v) / n) ** 0.5 / n**0.5
+        assert abs(m[250] - (mean - 1.96 * sd)) <= 0.1 * sd and abs(m[9750] - (mean + 1.96 * sd)) <= 0.1 * sd
+
+
 def test_nearest_rank_and_numbers(spark):
     values = [random.Random(4).randrange(50) for _ in range(101)]
     df = spark.createDataFrame([("g", v) for v in values] + [("h", None)], "g string, v int")
