@@ -55,6 +55,29 @@ def pack_paths(spark: SparkSession, sf_dir: str, most_nodes: int | None = None)
     return simple_paths(R.events(spark, sf_dir), R.edges(spark, sf_dir), most_nodes)
 
 
+def path_hints(spark: SparkSession, sf_dir: str, limit: int = 3) -> DataFrame:
+    """``(sample_key, path, rnk)``: the best maximal paths of each question's pack.
+
+    A maximal path begins at a candidate without edges into it (any, where all have some) and ends at one without edges out of it or at the
+    ``MOST_NODES``-th. Those that cover more of the named candidates go first, then the mean relevance, then the longer; ties go by the path.
+    Packs without edge rows have none.
+    """
+    e, ids = R.edges(spark, sf_dir).select("pack", "src", "dst").distinct(), R.candidates(spark, sf_dir).select("pack", "event_id").distinct()
+    nodes = ids.join(R.raw_edges(spark, sf_dir).select("pack").distinct(), "pack", "left_semi")
+    ends = nodes.join(e.select("pack", F.col("dst").alias("event_id"), F.lit(True).alias("fed")).distinct(), ["pack", "event_id"], "left").join(e.select("pack", F.col("src").alias("event_id"), F.lit(True).alias("feeds")).distinct(), ["pack", "event_id"], "left")
+    ends = cut_lineage(ends.withColumn("free", F.count_if(F.col("fed").isNull()).over(Window.partitionBy("pack"))))
+    roots, sinks = ends.where("fed IS NULL OR free = 0"), ends.where("feeds IS NULL").select("pack", F.col("event_id").alias("end"), F.lit(True).alias("sink"))
+    paths = simple_paths(roots, e, MOST_NODES).withColumn("end", F.element_at("path", -1)).join(sinks, ["pack", "end"], "left").where((F.size("path") >= MOST_NODES) | F.col("sink"))
+    relevance = ranked_candidates(spark, sf_dir).select("sample_key", "event_id", "relevance")
+    asked = known_anchors(spark, sf_dir).select("sample_key", "pack", "ids").join(paths.select("pack", "path"), "pack")
+    nodes = asked.select("sample_key", "path", F.explode("path").alias("event_id")).join(relevance, ["sample_key", "event_id"], "left")
+    means = nodes.groupBy("sample_key", "path").agg(F.round(F.avg(F.coalesce("relevance", F.lit(0.0))), 6).alias("mean"))
+    cover = F.round(F.size(F.array_intersect("ids", "path")) / F.greatest(F.lit(1), F.size("ids")), 6)
+    order = Window.partitionBy("sample_key").orderBy(F.desc(cover), F.desc("mean"), F.desc(F.size("path")), joined("path"))
+    rows = asked.join(means, ["sample_key", "path"])
+    return rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= limit).select("sample_key", joined("path").alias("path"), "rnk")
+
+
 def joined(path: Column | str) -> Column:
     """A path as text; orders as the path does for ids of one width."""
     return F.array_join(path, ">")

@@ -70,6 +70,22 @@ def paths_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.join(paths, ["pack", "end"]).join(roots, ["pack", "begin"], "left_semi").select("sample_key", G.joined("path").alias("path"))
 
 
+@query(
+    base(
+        """SELECT sample_key, array_to_string(path, '>') AS path, rnk FROM (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY cover DESC, mean DESC, len(path) DESC, array_to_string(path, '>')) AS rnk FROM (
+        SELECT k.sample_key, p.path, round(len(list_intersect(k.ids, p.path)) / greatest(1, len(k.ids)), 6) AS cover, round(avg(coalesce(r.relevance, 0.0)), 6) AS mean
+        FROM known1 AS k JOIN (SELECT pack, path, unnest(path) AS event_id FROM most1) AS p ON p.pack = k.pack LEFT JOIN ranked AS r ON r.sample_key = k.sample_key AND r.event_id = p.event_id GROUP BY ALL)) WHERE rnk <= 3""",
+        """ids1 AS (SELECT DISTINCT c.pack, c.event_id FROM cand AS c SEMI JOIN edges0 AS z ON z.pack = c.pack),
+        start1 AS (SELECT pack, event_id FROM (SELECT i.*, e.dst IS NOT NULL AS fed, count(*) FILTER (e.dst IS NULL) OVER (PARTITION BY i.pack) AS free FROM ids1 AS i LEFT JOIN (SELECT DISTINCT pack, dst FROM edges1) AS e ON e.pack = i.pack AND e.dst = i.event_id) WHERE NOT fed OR free = 0),
+        from1 AS (SELECT pack, [event_id] AS path FROM start1 UNION ALL SELECT p.pack, list_append(p.path, e.dst) FROM from1 AS p JOIN (SELECT DISTINCT pack, src, dst FROM edges1) AS e ON e.pack = p.pack AND e.src = p.path[-1] WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 12),
+        most1 AS (SELECT p.* FROM from1 AS p LEFT JOIN (SELECT DISTINCT pack, src FROM edges1) AS e ON e.pack = p.pack AND e.src = p.path[-1] WHERE e.src IS NULL OR len(p.path) = 12)""",
+    )
+)
+def graph_path_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best maximal paths of the pack for each question."""
+    return G.path_hints(spark, sf_dir)
+
+
 _WEIGHT = "CASE level WHEN 'certain' THEN 1.0 WHEN 'probable' THEN 0.7 WHEN 'possible' THEN 0.4 ELSE 0.7 END"
 
 
