@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.operators.skew import salted_join
-from packloom.session import write_shared
+from packloom.operators.skew import hot_keys, salted_join
+from packloom.session import delete_shared, write_shared
 
 #: Identities a task remembers so as not to send a subtree again; beyond it the shuffle removes the repeats.
 REMEMBER = 200_000
-#: Text inside text inside text ... is opened so many times at most.
-TEXT_DEPTH = 8
+#: What may stand around JSON text: its own blanks, other white space and a byte-order mark.
+_AROUND = "\ufeff \t\n\r\f\v\u00a0\u3000"
 
 EDGE = "parent binary, member string, ordinal int, child binary, kind string, value string, root_id bigint"
 _SCHEMA = pa.schema(
@@ -30,36 +31,85 @@ _SCHEMA = pa.schema(
 )
 
 
-def _no_constant(text: str):
-    raise ValueError(text)
-
-
 class _Number(str):
     """A JSON number as it was written, so that no digit is lost."""
 
 
-_DECODER = json.JSONDecoder(parse_constant=_no_constant, parse_float=_Number, parse_int=_Number)
+class _Constant(str):
+    """NaN or an infinity, which some writers put where JSON has no number."""
+
+
+_DECODER = json.JSONDecoder(parse_constant=_Constant, parse_float=_Number, parse_int=_Number)
+_PIECE = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^ \t\n\r\[\]{},:"]+))', re.S)
+
+
+def _parsed_deep(text: str):
+    """``text`` parsed with a stack of its own, for values nested deeper than the decoder's recursion goes."""
+    top: list = []
+    stack: list = [top]
+    names: list = [None]
+    ready, at = "value", 0
+    while True:
+        m = _PIECE.match(text, at)
+        if m is None:
+            if text[at:].strip(" \t\n\r") or len(stack) > 1 or ready != "end":
+                raise ValueError(at)
+            return top[0]
+        at = m.end()
+        sign, held = m[1], stack[-1]
+        if sign is None or sign in "[{":
+            if ready == "name" or ready == "first name":
+                if m[2] is None:
+                    raise ValueError(at)
+                names[-1], ready = _DECODER.decode(m[2]), ":"
+                continue
+            if ready not in ("value", "first value"):
+                raise ValueError(at)
+            value = ([] if sign == "[" else {}) if sign else _DECODER.decode(m[2] or m[3])
+            if type(held) is dict:
+                held[names[-1]] = value
+            else:
+                held.append(value)
+            if sign:
+                stack.append(value)
+                names.append(None)
+                ready = "first value" if sign == "[" else "first name"
+            else:
+                ready = "," if len(stack) > 1 else "end"
+        elif sign == ":" and ready == ":":
+            ready = "value"
+        elif sign == "," and ready == ",":
+            ready = "name" if type(held) is dict else "value"
+        elif sign in "]}" and len(stack) > 1 and (type(held) is list) == (sign == "]") and ready in (",", "first value", "first name"):
+            stack.pop()
+            names.pop()
+            ready = "," if len(stack) > 1 else "end"
+        else:
+            raise ValueError(at)
 
 
 def opened(value):
-    """``value``, or what it holds if it is text that is itself a complete JSON object or array."""
-    for _ in range(TEXT_DEPTH):
-        if type(value) is not str or value.lstrip()[:1] not in ("{", "[", '"'):
+    """``value``, or what it holds if it is text that is itself a complete JSON object or array, however often it was quoted."""
+    while type(value) is str:
+        text = value.strip(_AROUND)
+        if text[:1] not in ("{", "[", '"'):
             return value
         try:
-            inner = _DECODER.decode(value)
-        except (ValueError, RecursionError):
+            inner = _DECODER.decode(text)
+        except RecursionError:
+            try:
+                inner = _parsed_deep(text)
+            except ValueError:
+                return value
+        except ValueError:
             return value
-        if type(inner) is str and inner.lstrip()[:1] not in ("{", "[", '"'):
+        if type(inner) is str and inner.strip(_AROUND)[:1] not in ("{", "[", '"'):
             return value
         value = inner
     return value
 
 
-def _kind(value) -> str:
-    if value is None:
-        return "null"
-    return {bool: "boolean", _Number: "number", str: "text", dict: "object", list: "array"}[type(value)]
+_KINDS = {type(None): "null", bool: "boolean", _Number: "number", _Constant: "constant", str: "text"}
 
 
 def _scalar(value) -> str | None:
@@ -68,29 +118,44 @@ def _scalar(value) -> str | None:
     return ("true" if value else "false") if type(value) is bool else str(value)
 
 
+def _frame(value) -> list:
+    array = type(value) is list
+    digest = hashlib.blake2b(b"[" if array else b"{", digest_size=16)
+    return [iter([(None, x) for x in value] if array else sorted(value.items())), None, digest, []]
+
+
+def _add(frame: list, name: str | None, below: bytes | None, kind: str, text: str | None) -> None:
+    name_b = b"" if name is None else name.encode("utf-8", "surrogatepass")
+    text_b = b"" if text is None else text.encode("utf-8", "surrogatepass")
+    frame[2].update(b"%d:%s%s%d:%s%s" % (len(name_b), name_b, kind.encode(), len(text_b), text_b, below or b""))
+    frame[3].append((name, len(frame[3]), below, kind, text))
+
+
 def shred(value, sink) -> bytes:
     """Identity of an object or array; ``sink(identity, rows)`` gets the edge rows (member, ordinal, child, kind, value) below it.
 
     Members of an object are ordered by name, elements of an array keep their place, so that objects that differ in
-    the order of their members only are the same.
+    the order of their members only are the same. Values are walked with a stack of their own, so no depth is too deep.
     """
-    rows, digest = [], hashlib.blake2b(digest_size=16)
-    array = type(value) is list
-    digest.update(b"[" if array else b"{")
-    for i, (name, child) in enumerate([(None, x) for x in value] if array else sorted(value.items())):
-        child = opened(child)
-        kind = _kind(child)
-        if kind in ("object", "array"):
-            below, text = shred(child, sink), None
+    stack = [_frame(value)]
+    while True:
+        frame = stack[-1]
+        for name, child in frame[0]:
+            child = opened(child)
+            kind = _KINDS.get(type(child))
+            if kind is None:
+                frame[1] = (name, "array" if type(child) is list else "object")
+                stack.append(_frame(child))
+                break
+            _add(frame, name, None, kind, _scalar(child))
         else:
-            below, text = None, _scalar(child)
-        name_b = b"" if name is None else name.encode("utf-8", "surrogatepass")
-        text_b = b"" if text is None else text.encode("utf-8", "surrogatepass")
-        digest.update(b"%d:%s%s%d:%s%s" % (len(name_b), name_b, kind.encode(), len(text_b), text_b, below or b""))
-        rows.append((name, i, below, kind, text))
-    identity = digest.digest()
-    sink(identity, rows)
-    return identity
+            identity = frame[2].digest()
+            sink(identity, frame[3])
+            stack.pop()
+            if not stack:
+                return identity
+            name, kind = stack[-1][1]
+            _add(stack[-1], name, identity, kind, None)
 
 
 def _safe(text: str | None) -> str | None:
@@ -109,21 +174,13 @@ def _shredder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((identity, None, -1, None, "empty" if not rows else "self", None, None))
             out.extend((identity, _safe(m), i, c, k, _safe(v), None) for m, i, c, k, v in rows)
 
-        for rid, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for rid, payload, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if payload is None:
                 continue
             value = opened(payload)
             if type(value) is not dict:
                 continue
-            mark = len(out)
-            try:
-                root = shred(value, sink)
-            except RecursionError:
-                for r in out[mark:]:
-                    known.discard(r[0])
-                del out[mark:]
-                continue
-            out.append((None, None, None, root, "root", None, rid))
+            out.append((None, None, None, shred(value, sink), "root", str(row), rid))
         if len(known) > REMEMBER:
             known = set()
         if out:
@@ -131,43 +188,38 @@ def _shredder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Store:
-    """The relations of shredded records: ``roots(record, root)`` and ``edges(parent, member, ordinal, child, kind, value)``."""
+    """The relations of shredded records: ``roots(record, root)``, ``edges(parent, member, ordinal, child, kind, value)`` and ``nodes(node)``."""
 
     def __init__(self, df: DataFrame, record: str, payload: str | Column):
         """Shred ``payload`` (JSON text) of ``df``, whose ``record`` is a BIGINT key.
 
-        Null, broken, empty and non-object payloads give nothing. Text that holds a JSON object or array counts as that
-        object or array, at any depth. Payloads nested deeper than the interpreter's stack give nothing either. The
-        relations are written once to the checkpoint folder, by kind, so that a step of a path reads the kinds it needs.
-        """
-        col = F.col(payload) if isinstance(payload, str) else payload
-        # Equal rows below one parent are equal in all columns, so plain distinct rows are the distinct places.
-        rows = write_shared(df.select(F.col(record).cast("bigint"), col).mapInArrow(_shredder, EDGE), "kind")
-        self.roots = rows.where("kind = 'root'").select(F.col("root_id").alias(record), F.col("child").alias("root"))
-        self._edges = rows.where("kind NOT IN ('root', 'self', 'empty')").drop("root_id")
-        self._nodes = rows.where("kind IN ('self', 'empty')").select(F.col("parent").alias("node"))
-
-    @property
-    def edges(self) -> DataFrame:
-        """Bridge rows, one for each place below each distinct parent."""
-        return self._edges.distinct()
-
-    @property
-    def nodes(self) -> DataFrame:
-        """The identity of every distinct object and array."""
-        return self._nodes.distinct()
-
-    def members(self, *names: str) -> DataFrame:
-        """The edges of the given members."""
-        return self._edges.where(F.col("member").isin(*names)).distinct()
+        Null, broken, empty and non-object payloads give nothing; a byte-order mark before the text does not count.
+        Text that holds a JSON object or array counts as that object or array, at any depth. NaN and infinities are scalars of
+        kind ``constant``. A record that occurs twice has two roots.
 
-    def elements(self) -> DataFrame:
-        """The edges of arrays."""
-        return self._edges.where(F.col("member").isNull()).distinct()
-
-    def objects(self) -> DataFrame:
-        """The edges that lead to objects."""
-        return self._edges.where("kind = 'object'").distinct()
+        Equal rows below one parent are equal in all columns, so the distinct rows are the distinct places. They are brought
+        together once, by parent, and written to the checkpoint folder ordered by kind and member, so that a step of a path
+        reads the row groups of its members.
+        """
+        col = F.col(f"`{payload}`") if isinstance(payload, str) else payload
+        # The row's number keeps records that are equal in key and payload apart.
+        rows = df.select(F.col(f"`{record}`").cast("bigint"), col, F.monotonically_increasing_id()).where(col.isNotNull()).mapInArrow(_shredder, EDGE)
+        # Roots have no parent: their own record number spreads them.
+        placed = rows.repartition(F.coalesce(F.xxhash64("parent"), F.xxhash64("root_id"))).distinct()
+        self._rows = write_shared(placed.sortWithinPartitions("kind", "member"))
+        self.roots = self._rows.where("kind = 'root'").select(F.col("root_id").alias(record), F.col("child").alias("root"))
+        #: Bridge rows, one for each place below each distinct parent.
+        self.edges = self._rows.where("kind NOT IN ('root', 'self', 'empty')").drop("root_id")
+        #: The identity of every distinct object and array.
+        self.nodes = self._rows.where("kind IN ('self', 'empty')").select(F.col("parent").alias("node"))
+
+    def hot(self) -> list:
+        """Identities that hold a large share of all references, at most ``skew.HOT_SHARE``; each step's join splits their rows."""
+        return hot_keys(self._rows.where("child IS NOT NULL"), "child")
+
+    def release(self) -> None:
+        """Delete the written relations; nothing derived from the store can be read after it."""
+        delete_shared(self._rows)
 
 
 def whole_number(text: Column) -> Column:
@@ -180,51 +232,53 @@ def whole_number(text: Column) -> Column:
     return F.when(digits == "-0", F.lit("0")).otherwise(digits)
 
 
-def _step(df: DataFrame, at: str, edges: DataFrame, keep: list[str], to: str) -> DataFrame:
-    e = edges.select(F.col("parent").alias(at), F.col("child").alias(to), F.col("kind").alias(f"{to}_kind"), F.col("value").alias(f"{to}_value"), F.col("ordinal").alias(f"{to}_pos"), F.col("member").alias(f"{to}_member"))
-    return df.select(*dict.fromkeys([*keep, at])).join(e, at)
+_SCALAR = "kind IN ('text', 'number')"
+
+
+def _above(edges: DataFrame, below: DataFrame, hot: list) -> DataFrame:
+    """Rows of ``below(node, ...)`` handed to every place that refers to their node: ``(parent, member, ordinal, ...)``."""
+    left = edges.select("parent", "member", "ordinal", F.col("child").alias("node"))
+    return salted_join(left, below, "node", ["parent", "ordinal"], "inner", hot).drop("node")
 
 
 def run_log_children(store: Store, record: str = "record_id") -> DataFrame:
     """Flat child rows of run logs: ``(record_id, child, parent_pos, pos, item)``.
 
     ``chain`` and ``usage`` rows belong to an element of ``attempts`` (place ``parent_pos``; 0 for a lone object), ``group``
-    rows to a member of ``groups`` (both places -1). What lies below an attempt or a group is derived once for each distinct
-    object and then joined to its occurrences. Null or missing values give no row.
+    rows to a member of ``groups`` (both places -1). Null or missing values give no row.
+
+    Rows are derived bottom-up, once for each distinct object: ids and counts of the lowest objects go to the arrays and
+    objects that refer to them, from there to attempts, lists, roots and, in the last step, to the records. So every
+    join's larger side is bridge rows as the store has them, and one count of references tells the hot ones for all.
     """
-    elements = store.elements()
-    # Attempt objects in their records.
-    top = _step(store.roots, "root", store.members("attempts"), [record], "a").where("a_kind IN ('object', 'array')")
-    lone = top.where("a_kind = 'object'").select(record, F.lit(0).alias("parent_pos"), F.col("a").alias("node"))
-    many = _step(top.where("a_kind = 'array'"), "a", elements, [record], "e").where("e_kind = 'object'").select(record, F.col("e_pos").alias("parent_pos"), F.col("e").alias("node"))
-    at = lone.unionByName(many)
-    # Below a distinct attempt: the chain.
-    parsed = store.members("parsed").where("kind = 'object'").select(F.col("parent").alias("node"), F.col("child").alias("p"))
-    chain = _step(parsed, "p", store.members("evidence_chain"), ["node"], "c").where("c_kind IN ('text', 'array', 'object')")
-    bare = chain.where("c_kind = 'text'").select("node", F.lit(0).alias("pos"), F.col("c_value").alias("item"))
-    listed = _step(chain.where("c_kind = 'array'"), "c", elements, ["node"], "x").where("x_kind IN ('text', 'number', 'object')")
-    plain = listed.where("x_kind IN ('text', 'number')").select("node", F.col("x_pos").alias("pos"), F.col("x_value").alias("item"))
-    named = _step(listed.where("x_kind = 'object'").withColumn("pos", F.col("x_pos")), "x", store.members("event_id"), ["node", "pos"], "i")
-    named = named.unionByName(_step(chain.where("c_kind = 'object'").withColumn("pos", F.lit(0)), "c", store.members("event_id"), ["node", "pos"], "i").withColumnRenamed("c", "x"))
-    named = named.where("i_kind IN ('text', 'number')").select("node", "pos", F.col("i_value").alias("item"))
-    chains = bare.unionByName(plain).unionByName(named).select("node", F.lit("chain").alias("child"), "pos", F.trim("item").alias("item")).where("item <> ''")
-    # Below a distinct attempt: the usage.
-    call = store.members("attempt").where("kind = 'object'").select(F.col("parent").alias("node"), F.col("child").alias("t"))
-    used = _step(call, "t", store.members("usage"), ["node"], "u").where("u_kind = 'object'")
-    tokens = _step(used, "u", store.members("prompt_tokens"), ["node"], "n").where("n_kind IN ('text', 'number')")
-    usage = tokens.select("node", F.lit("usage").alias("child"), F.lit(0).alias("pos"), whole_number(F.col("n_value")).alias("item")).where("item IS NOT NULL")
-    below = chains.unionByName(usage)
-    # Groups of a record.
-    groups = _step(store.roots, "root", store.members("groups"), [record], "g").where("g_kind IN ('object', 'array')")
-    inside = _step(groups, "g", store.objects(), [record], "h")
-    totals = store.members("all").where("kind IN ('text', 'number')").select(F.col("parent").alias("h"), F.col("value").alias("total"))
-    names = store.members("name").where("kind = 'text'").select(F.col("parent").alias("h"), F.col("value").alias("own_name"))
-    group = totals.join(names, "h", "left").withColumn("total", whole_number(F.col("total"))).where("total IS NOT NULL")
-    counted = salted_join(inside.select(record, "h", "h_member", "h_pos"), group, "h", [record, "h_pos"], "inner")
-    counted = counted.withColumn("label", F.coalesce("h_member", "own_name")).where("label IS NOT NULL")
-    groups_out = counted.select(record, F.lit("group").alias("child"), F.lit(-1).alias("parent_pos"), F.lit(-1).alias("pos"), F.concat("label", F.lit("="), "total").alias("item"))
-    attempts_out = salted_join(at, below, "node", [record, "parent_pos"], "inner").select(record, "child", "parent_pos", "pos", "item")
-    return attempts_out.unionByName(groups_out)
+    e, hot = store.edges, store.hot()
+    arrays, objects = e.where("member IS NULL"), e.where("kind = 'object'")
+    # The lowest objects: an event with its id, a group with its total and perhaps its name.
+    ids = e.where(f"member = 'event_id' AND {_SCALAR}").select(F.col("parent").alias("node"), F.trim("value").alias("item")).where("item <> ''")
+    totals = e.where(f"member IN ('all', 'name') AND {_SCALAR}").groupBy(F.col("parent").alias("node")).agg(
+        F.max(F.when(F.col("member") == "all", F.col("value"))).alias("total"), F.max(F.when((F.col("member") == "name") & (F.col("kind") == "text"), F.col("value"))).alias("own_name")
+    )
+    totals = totals.select("node", whole_number(F.col("total")).alias("item"), "own_name").where("item IS NOT NULL")
+    low = _above(objects, ids.withColumn("own_name", F.lit(None).cast("string")).withColumn("of", F.lit("event")).unionByName(totals.withColumn("of", F.lit("group"))), hot)
+    # Chains: arrays of ids or of events, a lone event; and what a usage counts.
+    text = arrays.where(_SCALAR).select(F.col("parent").alias("node"), F.col("ordinal").alias("pos"), F.trim("value").alias("item")).where("item <> ''")
+    listed = low.where("of = 'event' AND member IS NULL").select(F.col("parent").alias("node"), F.col("ordinal").alias("pos"), "item")
+    chains = text.unionByName(listed).unionByName(ids.select("node", F.lit(0).alias("pos"), "item")).withColumn("child", F.lit("chain"))
+    tokens = e.where(f"member = 'prompt_tokens' AND {_SCALAR}").select(F.col("parent").alias("node"), F.lit(0).alias("pos"), whole_number(F.col("value")).alias("item"), F.lit("usage").alias("child"))
+    held = _above(e.where("(member = 'evidence_chain' AND kind IN ('array', 'object')) OR (member = 'usage' AND kind = 'object')"), chains.unionByName(tokens.where("item IS NOT NULL")), hot)
+    held = held.where("(member = 'usage') = (child = 'usage')").select(F.col("parent").alias("node"), "child", "pos", "item")
+    bare = e.where("member = 'evidence_chain' AND kind = 'text'").select(F.col("parent").alias("node"), F.lit("chain").alias("child"), F.lit(0).alias("pos"), F.trim("value").alias("item")).where("item <> ''")
+    # Attempts, alone or in a list.
+    own = _above(objects.where("member IN ('parsed', 'attempt')"), held.unionByName(bare), hot).where("(member = 'attempt') = (child = 'usage')")
+    own = own.select(F.col("parent").alias("node"), "child", "pos", "item")
+    many = _above(objects.where("member IS NULL"), own, hot).select(F.col("parent").alias("node"), F.col("ordinal").alias("parent_pos"), "child", "pos", "item")
+    groups = low.where("of = 'group'").withColumn("label", F.coalesce("member", "own_name")).where("label IS NOT NULL")
+    groups = groups.select(F.col("parent").alias("node"), F.lit(-1).alias("parent_pos"), F.lit("group").alias("child"), F.lit(-1).alias("pos"), F.concat("label", F.lit("="), "item").alias("item"))
+    parts = many.unionByName(own.withColumn("parent_pos", F.lit(0))).unionByName(groups)
+    # Roots, and the records that have them.
+    top = _above(e.where("member IN ('attempts', 'groups') AND kind IN ('array', 'object')"), parts, hot).where("(member = 'groups') = (child = 'group')")
+    rows = salted_join(store.roots, top.withColumnRenamed("parent", "root").drop("member", "ordinal"), "root", [record], "inner", hot)
+    return rows.select(record, "child", "parent_pos", "pos", "item")
 
 
 def flat_tables(df: DataFrame, struct: str, key: str) -> dict[str, DataFrame]:

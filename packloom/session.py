@@ -26,10 +26,17 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where that is unset (tests, local runs)."""
+    """The checkpoint folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where that is unset a local session (tests, one machine) gets a temporary folder; a session on a cluster raises an
+    error, for a folder of the driver's machine is none that executors share.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="packloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="packloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,9 +46,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_shared(df: DataFrame, by: str) -> DataFrame:
-    """Like ``cut_lineage``, as a Parquet table partitioned by a column: for relations read several times, each time in part."""
+def write_shared(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table: for relations read several times, each time in part."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_shared(df: DataFrame) -> None:
+    """Delete the files of a table that ``write_shared`` gave."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,6 +1,7 @@
 import json
+import random
 
-from packloom.operators.nested import Store, opened, run_log_children, shred
+from packloom.operators.nested import _DECODER, Store, _parsed_deep, opened, run_log_children, shred
 
 RECORDS = [
     (1, json.dumps({"attempts": [{"parsed": {"evidence_chain": ["D001", {"event_id": "D002"}, None]}, "attempt": {"usage": {"prompt_tokens": "12"}}}, 5, {"parsed": None}], "groups": {"a": {"all": 3.0}, "b": {"all": None}, "c": None}})),
@@ -54,3 +55,67 @@ def test_identity_ignores_member_order_but_not_place():
     ident = lambda v: shred(v, lambda *_: None)
     assert ident({"a": "1", "b": "2"}) == ident({"b": "2", "a": "1"})
     assert ident(["a", "b"]) != ident(["b", "a"]) and ident(["1"]) != ident([None]) and ident({"a": ""}) != ident({"a": None})
+
+
+def test_marks_constants_and_depth(spark):
+    chain = {"attempts": [{"parsed": {"evidence_chain": ["D001"]}}]}
+    deep = '{"deep": ' + "[" * 50_000 + "]" * 50_000 + ', "groups": {"a": {"all": 1}}}'
+    text = json.dumps(chain)
+    for _ in range(12):
+        text = json.dumps(text) if len(text) < 200_000 else text
+    rows = [
+        (1, "\ufeff" + json.dumps(chain)),
+        (2, " \ufeff\n" + json.dumps(json.dumps(chain)) + "\n"),
+        (3, '{"score": NaN, "other": [-Infinity], "groups": {"a": {"all": 2}, "b": {"all": NaN}}}'),
+        (4, deep),
+        (5, deep[:-1]),
+        (6, text),
+        (7, json.dumps(chain)),
+        (7, json.dumps(chain)),
+        (None, json.dumps({"groups": {"z": {"all": 1}}})),
+    ]
+    store = Store(spark.createDataFrame(rows, "record_id bigint, payload string"), "record_id", "payload")
+    got = sorted(map(tuple, run_log_children(store).where("record_id IS NOT NULL").collect()))
+    one = lambda i: (i, "chain", 0, 0, "D001")
+    assert got == sorted([one(1), one(2), (3, "group", -1, -1, "a=2"), (4, "group", -1, -1, "a=1"), one(6), one(7), one(7)])
+    assert store.edges.where("kind = 'constant'").count() == 3
+    path = store.edges.inputFiles()[0]
+    store.release()
+    try:
+        spark.read.parquet(path).count()
+    except Exception:  # noqa: BLE001 (gone)
+        return
+    raise AssertionError("the store is still there")
+
+
+def test_own_stack_parser_is_the_decoder():
+    draw = random.Random(3)
+
+    def some(depth):
+        kind = draw.randrange(8 if depth else 5)
+        if kind < 5:
+            return [None, True, draw.random(), draw.randrange(-9, 10**20), 'a"\\\n\u4e00{[,:]} '][kind]
+        return [some(depth - 1) for _ in range(draw.randrange(4))] if kind == 5 else {f"k{i} \"": some(depth - 1) for i in range(draw.randrange(4))}
+
+    for _ in range(300):
+        value = some(4)
+        text = json.dumps(value, ensure_ascii=draw.random() < 0.5, indent=draw.choice([None, 1]))
+        assert _parsed_deep(text) == _DECODER.decode(text)
+        broken = text[: draw.randrange(len(text))] + draw.choice(["", ",", "}", "]", ":", "x", '"'])
+        try:
+            want = _DECODER.decode(broken)
+        except ValueError:
+            want = ValueError
+        try:
+            got = _parsed_deep(broken)
+        except ValueError:
+            got = ValueError
+        assert got == want, broken
+
+
+def test_hot_subtrees(spark):
+    """A third of the records, and most attempts, are one object."""
+    same = {"parsed": {"evidence_chain": ["D001", "D002"]}, "attempt": {"usage": {"prompt_tokens": 7}}}
+    rows = [(i, json.dumps({"attempts": [same] * (i % 3 + 1)} if i % 3 else {"attempts": same})) for i in range(900)]
+    got = run_log_children(Store(spark.createDataFrame(rows, "record_id bigint, payload string").repartition(8), "record_id", "payload"))
+    assert got.count() == got.distinct().count() == 3 * sum(i % 3 + 1 for i in range(900))
