@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packloom.llm.leakage import leaked
 from packloom.llm.packing import pack, token_counts
 from packloom.llm.splits import assign_groups, propagate, text_links
-from packloom.llm.subjects import CUT, LEAST_LEVEL, subject_posteriors, subjects
+from packloom.llm.subjects import CUT, subject_posteriors, subjects
 from packloom.session import cut_lineage
 from packloom.sources.tables import canonical_sample_id, table
 
@@ -80,7 +80,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and expected documents of each subject."""
     p = subject_posteriors(*_subject_inputs(spark, sf_dir))
-    counts = p.groupBy("subject").agg(F.count_if((F.col("posterior") >= CUT) & (F.col("lexicon") >= LEAST_LEVEL)).alias("documents"), F.round(F.sum("posterior"), 1).alias("expected"))
+    counts = p.groupBy("subject").agg(F.count_if(F.col("posterior") >= CUT).alias("documents"), F.round(F.sum("posterior"), 1).alias("expected"))
     return table(spark, sf_dir, "subject_areas").select("subject").join(F.broadcast(counts), "subject", "left").na.fill(0)
 
 

@@ -29,8 +29,8 @@ LEAST_HAN, LEAST_OTHER, PURITY = 5, 3, 0.9
 LEVELS = (0.0, 0.08, 0.16, 0.28)
 #: Documents get the subjects of at least this posterior probability.
 CUT = 0.5
-#: Lexicon level that a text itself must reach, whatever the other functions say.
-LEAST_LEVEL = 3
+#: Names of subject areas, for the addresses; a table of more is refused.
+MOST_AREAS = 1000
 #: Votes of the functions heading, address and source, and of sections.
 NO, YES, ABSTAIN = 0, 1, 2
 
@@ -141,7 +141,7 @@ def votes(lexicon: Lexicon, text: str, address: str | None) -> dict[str, tuple[i
         own = Counter(x for x in map(lexicon.leader, part) if x)
         total += len(part)
         said.update(own)
-        led.update({s: len(part) for s, n in own.items() if n * 3 >= len(part)})
+        led.update({s: len(part) for s, n in own.items() if n * 3 >= len(part) and (n > 1 or 2 * n >= len(part))})
     title = lexicon.leader(heading) if heading else None
     out = {}
     for s in {*said, *([title] if title else []), *([address] if address else [])} if total else ():
@@ -158,9 +158,12 @@ SIZES = (len(LEVELS) + 1, 3, 3, 3, 3)
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, list[np.ndarray], float]:
     """Posterior of each vote pattern, the functions' vote probabilities under both truths, and the prior, by expectation-maximisation.
 
-    Abstentions carry no evidence. The start takes the lexicon's upper levels for signs of truth.
+    Abstentions carry no evidence. The start is the share of yes among the other functions' votes; what the lexicon's
+    levels tell is learned from there.
     """
-    p = np.where(patterns[:, 0] >= 3, 0.9, 0.02)
+    others = patterns[:, 1:]
+    said = (others == YES).sum(axis=1)
+    p = (said + 0.5) / ((others != ABSTAIN).sum(axis=1) + 1)
     for _ in range(rounds):
         mass = np.stack([counts * (1 - p), counts * p])
         prior = (mass[1].sum() + 1) / (counts.sum() + 2)
@@ -195,7 +198,10 @@ def subject_posteriors(documents: DataFrame, examples: DataFrame, areas: DataFra
     spark = documents.sparkSession
     labelled = examples.where("subjects IS NOT NULL AND size(subjects) > 0 AND text IS NOT NULL").orderBy("example_id").limit(MOST_EXAMPLES)
     lexicon = spark.sparkContext.broadcast(fit_lexicon([(r["text"], r["subjects"]) for r in labelled.select("text", "subjects").collect()]))
-    domains = {r["name"]: r["subject"] for r in areas.where("name IS NOT NULL").limit(1000).collect()}
+    names = areas.where("name IS NOT NULL AND subject IS NOT NULL").select("name", "subject").distinct().orderBy("name", "subject").limit(MOST_AREAS + 1).collect()
+    if len(names) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} subject areas")
+    domains = {r["name"]: r["subject"] for r in names}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(lexicon.value)
@@ -211,14 +217,13 @@ def subject_posteriors(documents: DataFrame, examples: DataFrame, areas: DataFra
 
     cast = documents.select(F.col("doc_id").cast("bigint"), "text", "source", "pack").where("text IS NOT NULL")
     said = cut_lineage(cast.mapInArrow(vote, VOTES))
-    # The source's vote: whether its documents have the subject more, or less, often than all documents.
-    of_source = said.where("source IS NOT NULL").groupBy("source").agg(F.countDistinct("doc_id").alias("docs"))
-    in_source = said.where("source IS NOT NULL AND lexicon >= 3").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n"))
-    rates = in_source.join(of_source, "source").select(F.col("source"), "subject", (F.col("n") / F.col("docs")).alias("rate"))
-    overall = {r["subject"]: r["n"] for r in said.where("lexicon >= 3").groupBy("subject").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The source's vote: whether its documents have, by their sections and headings, the subject more, or less, often than all.
     docs = max(1, said.select("doc_id").distinct().count())
-    usual = F.coalesce(*[F.when(F.col("subject") == s, F.lit(n / docs)) for s, n in sorted(overall.items())], F.lit(0.0)) if overall else F.lit(0.0)
-    lift = rates.withColumn("lift", F.col("rate") / usual).select(F.concat_ws("\u0001", "source", "subject").alias("at"), "lift")
+    signs = said.where("section = 1 OR heading = 1")
+    usual = signs.groupBy("subject").agg((F.count(F.lit(1)) / F.lit(docs)).alias("usual"))
+    of_source = said.where("source IS NOT NULL").groupBy("source").agg(F.countDistinct("doc_id").alias("docs"))
+    rates = signs.where("source IS NOT NULL").groupBy("source", "subject").agg(F.count(F.lit(1)).alias("n")).join(of_source, "source").join(usual, "subject")
+    lift = rates.select(F.concat_ws("\u0001", "source", "subject").alias("at"), (F.col("n") / F.col("docs") / F.col("usual")).alias("lift"))
     voted = salted_join(said.withColumn("at", F.when(F.col("source").isNotNull(), F.concat_ws("\u0001", "source", "subject"))), lift, "at", ["doc_id"], "left")
     voted = voted.withColumn("source_vote", F.when(F.col("source").isNull(), ABSTAIN).when(F.col("lift") >= 1.5, YES).when(F.coalesce("lift", F.lit(0.0)) <= 0.5, NO).otherwise(ABSTAIN))
     functions = ["lexicon", "section", "heading", "address", "source_vote"]
@@ -233,5 +238,5 @@ def subject_posteriors(documents: DataFrame, examples: DataFrame, areas: DataFra
 
 
 def subjects(documents: DataFrame, examples: DataFrame, areas: DataFrame) -> DataFrame:
-    """``(doc_id, subject)`` of posterior CUT or more; the text's own share must reach LEAST_LEVEL."""
-    return subject_posteriors(documents, examples, areas).where((F.col("posterior") >= CUT) & (F.col("lexicon") >= LEAST_LEVEL)).select("doc_id", "subject")
+    """``(doc_id, subject)`` of posterior CUT or more."""
+    return subject_posteriors(documents, examples, areas).where(F.col("posterior") >= CUT).select("doc_id", "subject")
