@@ -1,8 +1,8 @@
 """One form for text that looks the same, by DuckDB SQL inside Arrow partitions.
 
-Two answers that look alike get one canonical string: compatibility forms, spaces and look-alike letters are
-mapped by ``translate``, invisible characters are removed by a regular expression, and ``nfc_normalize`` composes
-accents. Letter case, line breaks and wording stay.
+Two answers that look alike get one canonical string: invisible characters are removed by a regular expression, width
+forms mapped by ``translate`` and accents composed by ``nfc_normalize``; then look-alikes, other compatibility forms and
+ligatures are mapped and what that brings together is composed. Letter case, line breaks and wording stay.
 """
 
 from __future__ import annotations
@@ -66,15 +66,7 @@ v: ν ѵ ⅴ
 w: ԝ ѡ
 x: х ⅹ χ
 y: у γ ү
-口: ロ
-工: エ
-力: カ
-二: ニ
-八: ハ
-夕: タ
-卜: ト
-三: ミ
-一: ー
+μ: µ
 -: ‐ ‑ ‒ − ﹣ ˗
 ': ʼ ʹ
 ·: ・ ‧ ∙ ⋅
@@ -83,6 +75,9 @@ y: у γ ү
 ~: ∼ 〜
 """
 
+# Katakana that have the shape of an ideograph, and these ideographs.
+KANA, KANA_AS = "ロエカニハタトミー", "口工力二八夕卜三一"
+
 #: Spaces that are shown as the ordinary space.
 _SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Format and filler characters, variation selectors and controls other than tab and line breaks.
@@ -92,30 +87,51 @@ INVISIBLE = (
 )
 
 
+def _same_shape() -> dict[str, str]:
+    return {alike: latin for line in SAME_SHAPE.strip().splitlines() for latin, rest in [line.split(": ", 1)] for alike in rest.split()}
+
+
+@functools.cache
+def widths() -> dict[str, str]:
+    """Full- and half-width forms, and all spaces -> the ordinary character."""
+    out = {}
+    for code in (*range(0xFF01, 0xFFEF), 0x3000):
+        c = chr(code)
+        whole = unicodedata.normalize("NFKC", c)
+        if unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) and len(whole) == 1:
+            out[c] = whole
+    out.update(dict.fromkeys(_SPACES, " "))
+    return out
+
+
 @functools.cache
 def mapping() -> dict[str, str]:
-    """Character -> the character it is shown as, from Unicode's wide, narrow, font and radical forms and SAME_SHAPE."""
-    same = {alike: latin for line in SAME_SHAPE.strip().splitlines() for latin, rest in [line.split(": ", 1)] for alike in rest.split()}
+    """Character -> the characters it is shown as, for composed text in ordinary width.
+
+    From Unicode's font forms, radicals, letters and numerals of several characters, and SAME_SHAPE. What stands in a
+    circle, raised, lowered or stacked, and what adds a space, looks different and stays.
+    """
+    same = _same_shape()
     out = dict(same)
     for code in range(0x80, 0x30000):
         c = chr(code)
         form = unicodedata.decomposition(c)
-        if not form:
+        if not form or c in same:
             continue
         kind = form.split()[0] if form[0] == "<" else ""
         whole = unicodedata.normalize("NFKC", c)
         radical = 0x2E80 <= code <= 0x2FDF or 0xF900 <= code <= 0xFAFF or 0x2F800 <= code <= 0x2FA1F
-        if kind in ("<wide>", "<narrow>", "<font>", "<noBreak>") or radical:
-            if len(whole) == 1 and whole != c:
-                out[c] = same.get(whole, whole)
+        joined = kind == "<compat>" and len(whole) > 1 and " " not in whole and not 0x2474 <= code <= 0x24B5 and not 0x3200 <= code <= 0x33FF and code < 0x1F100
+        if kind in ("<font>", "<noBreak>") or radical or joined:
+            shown = "".join(same.get(x, x) for x in whole)
         elif not kind:
-            # A composed letter whose base has a look-alike: the look-alike with the same accents, if that is one character.
+            # A composed letter whose base has a look-alike: the look-alike with the same accents.
             parts = unicodedata.normalize("NFD", c)
-            if parts[0] in same:
-                composed = unicodedata.normalize("NFC", same[parts[0]] + parts[1:])
-                if len(composed) == 1:
-                    out[c] = composed
-    out.update(dict.fromkeys(_SPACES, " "))
+            shown = unicodedata.normalize("NFC", same[parts[0]] + parts[1:]) if parts[0] in same else c
+        else:
+            continue
+        if shown != c and c not in widths() and shown != unicodedata.normalize("NFC", c):
+            out[c] = shown
     out["⺟"] = "母"
     return out
 
@@ -135,26 +151,56 @@ def _class(chars: list[str]) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
 
 
+def _translated(x: str, table: dict[str, str]) -> str:
+    return f"translate({x}, {_quoted(''.join(table))}, {_quoted(''.join(table.values()))})"
+
+
+#: Runs of kana (and what stands between them), the ideographs beside which a run of look-alikes counts as ideographs.
+_KANA_RUN, _HAN_AT_END, _HAN_AT_BEGIN = "[ぁ-ヿ]+|[^ぁ-ヿ]+", "[㐀-鿿]$", "^[㐀-鿿]"
+
+
 @functools.cache
-def canonical_sql(column: str) -> str:
-    """DuckDB expression for the canonical form of ``column``."""
+def canonical_steps() -> tuple[tuple[str, str], ...]:
+    """The mapping step by step: DuckDB expressions over ``x``, each with the condition on ``x`` under which it is needed ('' for always)."""
     m = mapping()
-    # translate() builds its table anew for each row: the short one, for the width forms that most texts hold, always
-    # runs, the long one only where the text has one of its characters.
-    short = {a: b for a, b in m.items() if "\uff01" <= a <= "\uff5e"}
-    rest = {a: b for a, b in m.items() if a not in short}
-    table = lambda x: f"{_quoted(''.join(x))}, {_quoted(''.join(x.values()))}"
-    bare = f"regexp_replace({column}, {_quoted(INVISIBLE)}, '', 'g')"
-    mapped = f"CASE WHEN regexp_matches({column}, {_quoted(_class(list(rest)))}) THEN translate({bare}, {table(rest)}) ELSE {bare} END"
-    # Composing comes last, for removal and mapping bring letters and accents together.
-    return f"nfc_normalize(translate({mapped}, {table(short)}))"
+    # translate() builds its table anew for each row: the short one, for the forms that most texts hold, always runs,
+    # the others only where the text has one of their characters.
+    short = {a: b for a, b in widths().items() if "\uff01" <= a <= "\uff5e"}
+    narrow = {a: b for a, b in widths().items() if a not in short}
+    one = {a: b for a, b in m.items() if len(b) == 1}
+    several = {a: b for a, b in m.items() if len(b) != 1}
+    has = lambda chars: f"regexp_matches(x, {_quoted(_class(list(chars)))})"
+    pairs = ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in several.items())
+    beside = f"(coalesce(regexp_matches(r[i - 1], '{_HAN_AT_END}'), false) OR coalesce(regexp_matches(r[i + 1], '{_HAN_AT_BEGIN}'), false))"
+    run = f"CASE WHEN regexp_full_match(s, '[{KANA}]+') AND {beside} THEN translate(s, '{KANA}', '{KANA_AS}') ELSE s END"
+    return (
+        (f"regexp_replace(x, {_quoted(INVISIBLE)}, '', 'g')", ""),
+        (_translated("x", short), ""),
+        (_translated("x", narrow), has(narrow)),
+        # Composed before letters are mapped, so that a letter keeps its marks.
+        ("nfc_normalize(x)", ""),
+        (f"nfc_normalize({_translated('x', one)})", has(one)),
+        (f"nfc_normalize(array_to_string(list_transform(string_split(x, ''), lambda c: coalesce(MAP {{{pairs}}}[c], c)), ''))", has(several)),
+        # A run of look-alike kana beside an ideograph is read as ideographs; other kana, and other words, keep theirs.
+        (f"array_to_string(list_transform(r, lambda s, i: {run}), '')", f"regexp_matches(x, '[㐀-鿿][{KANA}]|[{KANA}][㐀-鿿]')"),
+    )
+
+
+@functools.cache
+def canonical_query(source: str) -> str:
+    """DuckDB query for all columns of ``source`` but ``raw``, and the canonical form of ``raw`` as ``canon``."""
+    inner = f"SELECT * EXCLUDE (raw), raw AS x FROM {source}"
+    for step, needed in canonical_steps():
+        runs = f", CASE WHEN {needed} THEN regexp_extract_all(x, '{_KANA_RUN}') END AS r" if "list_transform(r" in step else ""
+        inner = f"SELECT * EXCLUDE (x{', r' if runs else ''}), {f'CASE WHEN {needed} THEN {step} ELSE x END' if needed else step} AS x FROM (SELECT *{runs} FROM ({inner}))"
+    return f"SELECT * EXCLUDE (x), x AS canon FROM ({inner})"
 
 
 def _canonicalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-    sql = f"SELECT * EXCLUDE (raw), {canonical_sql('raw')} AS canon FROM (SELECT * FROM batch)"
+    sql = canonical_query("batch")
     for b in batches:
         if not b.num_rows:
             continue

@@ -2,9 +2,9 @@ import random
 import re
 import unicodedata
 
-from packloom.llm.canonical import SAME_SHAPE, canonical_text, equal_looking_pairs
+from packloom.llm.canonical import KANA, KANA_AS, SAME_SHAPE, canonical_text, equal_looking_pairs
 
-SHAPES = {a: b for line in SAME_SHAPE.strip().splitlines() for b, rest in [line.split(": ", 1)] for a in rest.split()}
+SHAPES = {a: b for line in SAME_SHAPE.strip().splitlines() for b, rest in [line.split(": ", 1)] for a in rest.split()} | dict(zip(KANA, KANA_AS, strict=True))
 
 
 def shaped(text):
@@ -57,3 +57,20 @@ def test_visible_differences_stay(spark):
     texts = ["Abc", "abc", "a\nbc", "a bc", "①", "1", "²", "2", "é", "e", "ø", "o", "ł", "l"]
     df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id bigint, g string, t string")
     assert equal_looking_pairs(df, "g", "id", "t").count() == 0
+
+
+def forms(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    return [r["canon"] for r in canonical_text(df, "t").orderBy("id").collect()]
+
+
+def test_marks_widths_and_ligatures(spark):
+    alike = [["バ", "ハ\u3099", "ﾊﾞ"], ["ガード", "カ\u3099ード", "ｶﾞｰﾄﾞ"], ["fi", "ﬁ"], ["VIII", "Ⅷ"], ["á", "а\u0301", "a\u0301"], ["v\u030f", "ѷ", "ѵ\u030f"], ["한", "\u1112\u1161\u11ab"], ["第一章", "第ー章"], ["加工口岸", "加エロ岸", "加エ口岸"], ["路口,", "路ロ，"]]
+    for group in alike:
+        assert set(forms(spark, group)) == {group[0]}
+
+
+def test_kana_words_stay(spark):
+    words = ["カード", "漢字カード", "ニ", "ハ", "スーパー", "ロ", "これはカニ", "力", "二"]
+    assert forms(spark, words) == words
+    assert forms(spark, forms(spark, words + ["ﬁ", "Ⅷ", "ѷ", "加エロ岸"])) == forms(spark, words + ["ﬁ", "Ⅷ", "ѷ", "加エロ岸"])
