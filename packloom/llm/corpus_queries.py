@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from packloom.llm.leakage import leaked
 from packloom.llm.packing import pack, token_counts
-from packloom.llm.splits import assign_groups, propagate, text_links
+from packloom.llm.splits import assign_groups, balance, propagate, text_links
 from packloom.llm.subjects import CUT, subject_posteriors, subjects
 from packloom.session import cut_lineage
 from packloom.sources.tables import canonical_sample_id, table
 
+#: Rows of split_targets; a table of more is refused.
+MOST_SPLITS = 1000
+
 
 def _pack_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate(text_links(table(spark, sf_dir, "documents"), "pack", "text"))
@@ -22,18 +25,36 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pack_labels(spark, sf_dir).select(F.col("record").alias("pack"), F.col("label").alias("group_pack"))
 
 
-def p5_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pack of documents, questions and refusal_rows with its group and split."""
+def _shares(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    rows = table(spark, sf_dir, "split_targets").where("share > 0").groupBy("split_name").agg(F.max("share").alias("share")).orderBy("split_name").limit(MOST_SPLITS + 1).collect()
+    if len(rows) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    return {r["split_name"]: r["share"] for r in rows}
+
+
+def _pack_types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All packs, and their labels: the domain, and the types of their questions."""
     questions = table(spark, sf_dir, "questions").dropDuplicates()
     refusals = table(spark, sf_dir, "refusal_rows")
     packs = table(spark, sf_dir, "documents").select("pack").unionByName(questions.select("pack")).unionByName(refusals.select("pack"))
     packs = packs.where("pack IS NOT NULL").distinct()
-    tied = _pack_labels(spark, sf_dir)
-    groups = packs.withColumnRenamed("pack", "record").join(tied, "record", "left").select("record", F.coalesce("label", "record").alias("grp"))
     domains = packs.select(F.col("pack").alias("record"), F.concat(F.lit("domain:"), F.regexp_replace("pack", "_[^_]*$", "")).alias("label"), F.lit(1).alias("n"))
     kinds = questions.where("pack IS NOT NULL").groupBy(F.col("pack").alias("record"), F.concat(F.lit("type:"), F.coalesce(F.lower(F.trim("question_type")), F.lit(""))).alias("label")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    shares = {r["split_name"]: r["share"] for r in table(spark, sf_dir, "split_targets").where("share > 0").orderBy("split_name").limit(100).collect()}
-    return assign_groups(groups, domains.unionByName(kinds), shares).select(F.col("record").alias("pack"), F.col("grp").alias("group_pack"), "split_name")
+    return packs, domains.unionByName(kinds)
+
+
+def p5_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pack of documents, questions and refusal_rows with its group and split."""
+    packs, labels = _pack_types(spark, sf_dir)
+    tied = _pack_labels(spark, sf_dir)
+    groups = packs.withColumnRenamed("pack", "record").join(tied, "record", "left").select("record", F.coalesce("label", "record").alias("grp"))
+    return assign_groups(groups, labels, _shares(spark, sf_dir)).select(F.col("record").alias("pack"), F.col("grp").alias("group_pack"), "split_name")
+
+
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and label deviation of each split."""
+    assigned = cut_lineage(p5_packs(spark, sf_dir).withColumnRenamed("pack", "record"))
+    return balance(assigned, _pack_types(spark, sf_dir)[1], _shares(spark, sf_dir))
 
 
 def p5_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +105,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "subject_areas").select("subject").join(F.broadcast(counts), "subject", "left").na.fill(0)
 
 
-QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {"p5_found": p5_found, "p5_packs": p5_packs, "p5_samples": p5_samples, "p5_balance": p5_balance, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}

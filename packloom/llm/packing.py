@@ -23,8 +23,8 @@ from packloom.session import cut_lineage
 #: Vocabulary file of a public tokenizer (ranks of byte pairs) and its pattern of pieces.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of a shard; fill below which a bin goes to the second filling; bins a local search tries to empty, and steps it takes for one.
-SHARD, AGAIN, SOURCES, STEPS = 16_000, 0.98, 64, 400
+#: Texts of a shard; fill below which a bin goes to the second filling; sizes of containers, of which more are refused.
+SHARD, AGAIN, MOST_SIZES = 16_000, 0.98, 1000
 
 
 @functools.cache
@@ -67,81 +67,139 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
     return where, fill
 
 
-def local_search(sizes: np.ndarray, where: np.ndarray, fill: list[int], capacity: int, sources: int = SOURCES) -> np.ndarray:
-    """Bins after emptying as many underfull bins as exchanges can; every step raises the sum of squared fills.
+class _Search:
+    """Bins and their items, kept sorted by bin and size so that all bins are searched at once."""
 
-    One after the other the least filled bins give their items away: an item moves to the bin it fills best; else it is
-    exchanged for the smaller item, pair of items, or, as a pair, for the smaller item whose bin has room for the
-    difference. The search ends at the least possible number of bins.
-    """
-    where, full = where.copy(), np.array(fill, dtype=np.int64)
-    least = -(-int(sizes.sum()) // capacity)
-    alive = len(full)
-    for source in np.argsort(full, kind="stable")[:sources].tolist():
-        if alive <= least:
-            break
-        room = capacity - full
-        room[source] = 0
-        others = np.flatnonzero((room[where] > 0) & (where != source))
-        order = np.lexsort((sizes[others], where[others]))
-        others = others[order]
-        # Pairs of neighbours by size in one bin.
-        paired = np.flatnonzero(where[others][1:] == where[others][:-1]) if len(others) > 1 else np.zeros(0, dtype=np.int64)
-        own = sorted(np.flatnonzero(where == source).tolist(), key=lambda i: -int(sizes[i]))
-        steps = 0
-        while own and steps < STEPS:
-            steps += 1
-            room = capacity - full
-            room[source] = 0
+    def __init__(self, sizes: np.ndarray, where: np.ndarray, full: np.ndarray, capacity: int):
+        self.sizes, self.where, self.full, self.capacity = sizes, where, full, capacity
+        self.wide = capacity + 1
+        self.item = np.lexsort((sizes, where))
+        self.key = where[self.item] * self.wide + sizes[self.item]
+
+    def _take(self, i: int) -> None:
+        k = self.where[i] * self.wide + self.sizes[i]
+        at = int(np.searchsorted(self.key, k))
+        while self.item[at] != i:
+            at += 1
+        self.key, self.item = np.delete(self.key, at), np.delete(self.item, at)
+
+    def move(self, i: int, to: int) -> None:
+        """Item ``i`` to bin ``to``."""
+        self._take(i)
+        s = int(self.sizes[i])
+        self.full[self.where[i]] -= s
+        self.full[to] += s
+        self.where[i] = to
+        k = to * self.wide + s
+        at = int(np.searchsorted(self.key, k))
+        self.key, self.item = np.insert(self.key, at, k), np.insert(self.item, at, i)
+
+    def _least(self, bins: np.ndarray, need: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``item`` of the smallest item of each bin of size ``need`` or more, and whether there is one; never the place ``skip``."""
+        base = bins * self.wide
+        at = np.searchsorted(self.key, base + need)
+        if skip is not None:
+            at = np.where(at == skip, at + 1, at)
+        inside = np.minimum(at, len(self.key) - 1)
+        return inside, (at < len(self.key)) & (self.key[inside] // self.wide == bins)
+
+    def empty(self, source: int) -> bool:
+        """Give the items of ``source`` away, step by step, each of which raises the sum of squared fills; whether it is empty now.
+
+        An item moves to the bin that it fills best. If none has room, items of the source are exchanged for smaller ones:
+        one for one, two for one or one for two, over all items and all pairs within a bin, whichever gains most.
+        """
+        own = np.flatnonzero(self.where == source).tolist()
+        while own:
+            own.sort(key=lambda i: (-int(self.sizes[i]), i))
+            room = self.capacity - self.full
+            bins = np.flatnonzero(room > 0)
+            bins = bins[(bins != source) & (self.full[bins] > 0)]
+            room, left = room[bins], int(self.full[source])
             done = False
+            tried = set()
             for i in own:
-                s = int(sizes[i])
-                fits = np.flatnonzero((room >= s) & (full + s > full[source]))
+                s = int(self.sizes[i])
+                if s in tried:
+                    continue
+                tried.add(s)
+                fits = np.flatnonzero((room >= s) & (self.full[bins] + s > left))
                 if len(fits):
-                    t = int(fits[np.argmin(room[fits])])
-                    where[i] = t
-                    full[t] += s
-                    full[source] -= s
+                    self.move(i, int(bins[fits[np.argmin(room[fits])]]))
                     own.remove(i)
                     done = True
                     break
             if done:
                 continue
-            ob, os_ = where[others], sizes[others]
-            singles = [((i,), int(sizes[i])) for i in own]
-            pairs = [((a, b), int(sizes[a] + sizes[b])) for k, a in enumerate(own[:12]) for b in own[k + 1 : 12]]
-            best: tuple[int, tuple, tuple] | None = None
-            for give, total in singles + pairs:
-                gain = total - os_
-                ok = np.flatnonzero((gain > 0) & (gain <= room[ob]) & (full[ob] + gain > full[source]) & (ob != source))
-                if len(ok):
-                    k = int(ok[np.argmax(gain[ok])])
-                    if best is None or gain[k] > best[0]:
-                        best = (int(gain[k]), give, (int(others[k]),))
-                if len(give) == 1 and len(paired):
-                    both = os_[paired] + os_[paired + 1]
-                    gain = total - both
-                    ok = np.flatnonzero((gain > 0) & (gain <= room[ob[paired]]) & (full[ob[paired]] + gain > full[source]) & (ob[paired] == ob[paired + 1]) & (ob[paired] != source))
-                    if len(ok):
-                        k = int(ok[np.argmax(gain[ok])])
-                        if best is None or gain[k] > best[0]:
-                            best = (int(gain[k]), give, (int(others[paired[k]]), int(others[paired[k] + 1])))
-            if best is None:
-                break
+            if not len(bins):
+                return False
+            best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
+            one = {int(self.sizes[i]): (i,) for i in reversed(own)}
+            # Items of one size are alike, and a bin has few different sizes: their sum is at most its capacity.
+            again = {}
+            for i in own:
+                if i != one[int(self.sizes[i])][0]:
+                    again.setdefault(int(self.sizes[i]), i)
+            two = {}
+            for a, (i,) in one.items():
+                for b, (j,) in one.items():
+                    if b < a:
+                        two.setdefault(a + b, (i, j))
+                if a in again:
+                    two.setdefault(2 * a, (i, again[a]))
+            for give in (one, two):
+                for total, items in give.items():
+                    # One smaller item of a bin.
+                    at, there = self._least(bins, np.clip(total - room, 1, self.capacity))
+                    gain = np.where(there & (total - room <= self.capacity), total - self.sizes[self.item[at]], 0)
+                    gain[(gain > room) | (self.full[bins] + gain <= left)] = 0
+                    k = int(np.argmax(gain))
+                    if gain[k] > best[0]:
+                        best = (int(gain[k]), items, (int(self.item[at[k]]),))
+            # Two smaller items of a bin.
+            held = self.key // self.wide
+            free = self.capacity - self.full[held]
+            with_room = np.flatnonzero((free > 0) & (held != source))
+            held, free, first = held[with_room], free[with_room], self.sizes[self.item[with_room]]
+            for total, items in one.items():
+                small = np.flatnonzero(first < total)
+                if len(small):
+                    at, there = self._least(held[small], np.clip(total - free[small] - first[small], 1, self.capacity), with_room[small])
+                    gain = np.where(there, total - first[small] - self.sizes[self.item[at]], 0)
+                    gain[(gain > free[small]) | (self.full[held[small]] + gain <= left)] = 0
+                    k = int(np.argmax(gain))
+                    if gain[k] > best[0]:
+                        best = (int(gain[k]), items, (int(self.item[with_room[small[k]]]), int(self.item[at[k]])))
             gain, give, take = best
-            t = int(where[take[0]])
+            if not gain:
+                return False
+            to = int(self.where[take[0]])
             for i in give:
-                where[i] = t
+                self.move(i, to)
                 own.remove(i)
             for i in take:
-                where[i] = source
+                self.move(i, source)
                 own.append(i)
-            full[t] += gain
-            full[source] -= gain
-            own.sort(key=lambda i: -int(sizes[i]))
-        if not own:
-            alive -= 1
-    return where
+        return True
+
+
+def local_search(sizes: np.ndarray, where: np.ndarray, fill: list[int], capacity: int) -> np.ndarray:
+    """Bins after emptying as many underfull bins as exchanges can.
+
+    Every underfull bin is tried, from the least filled on, and all of them again while one was emptied. The search
+    ends at the least possible number of bins. It ends, for each step raises the sum of squared fills.
+    """
+    search = _Search(sizes, where.copy(), np.array(fill, dtype=np.int64), capacity)
+    least, alive = -(-int(sizes.sum()) // capacity), len(fill)
+    emptied = True
+    while emptied and alive > least:
+        emptied = False
+        for source in np.argsort(search.full, kind="stable").tolist():
+            if alive <= least:
+                break
+            if 0 < search.full[source] < capacity and search.empty(source):
+                alive, emptied = alive - 1, True
+    return search.where
 
 
 def fill_shard(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -177,7 +235,9 @@ def pack(counts: DataFrame, containers: DataFrame) -> DataFrame:
     spark = counts.sparkSession
     n = counts.count()
     shards = max(1, -(-n // SHARD))
-    sizes = [(r[0], int(r[1])) for r in containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("container").limit(100).collect()]
+    sizes = [(r[0], int(r[1])) for r in containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("container").limit(MOST_SIZES + 1).collect()]
+    if len(sizes) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} container sizes")
     kinds = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in sizes])
     if not sizes:
         return spark.createDataFrame([], PLACED)

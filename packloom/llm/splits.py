@@ -23,8 +23,8 @@ from packloom.session import cut_lineage
 STRATA, BUCKETS = 32, 64
 #: A group with more than one in OWN_PARCEL of all records is a parcel of its own.
 OWN_PARCEL = 1024
-#: Label values that count one by one in the deviation; the rest count together.
-LABELS = 32
+#: Label values that count one by one in the deviation; rarer ones count by hash, POOLS of them.
+LABELS, POOLS = 512, 64
 
 
 def normalized(text: str) -> str:
@@ -64,7 +64,7 @@ def assign_parcels(counts: np.ndarray, shares: np.ndarray, rounds: int = 20) ->
     weight[0] *= 4
     want = shares[:, None] * total
     have = np.zeros_like(want)
-    split = np.zeros(n, dtype=np.int64)
+    split, size = np.zeros(n, dtype=np.int64), (counts**2) @ weight
     cost = lambda h, x: (((h + x - want) ** 2 - (h - want) ** 2) * weight).sum(axis=1)
     for i in np.lexsort((np.arange(n), -counts[:, 0])):
         # Relative to the share, so that a small split isn't filled at once.
@@ -81,21 +81,25 @@ def assign_parcels(counts: np.ndarray, shares: np.ndarray, rounds: int = 20) ->
                 have[s] -= counts[i]
                 have[t] += counts[i]
                 split[i], moved = t, moved + 1
+        lean = None
         for i in range(n):
             # Exchange with the parcel of another split that helps most.
+            if lean is None:
+                lean = counts @ ((have - want) * weight).T
             s = split[i]
             others = np.flatnonzero(split != s)
             if not len(others):
                 break
             t = split[others]
-            d = counts[others] - counts[i]
-            gain = (((have[s] + d - want[s]) ** 2 - (have[s] - want[s]) ** 2) * weight).sum(axis=1) + (((have[t] - d - want[t]) ** 2 - (have[t] - want[t]) ** 2) * weight).sum(axis=1)
+            # The gain is a quadratic form in the difference of the two parcels.
+            square = size[others] - 2 * (counts[others] @ (weight * counts[i])) + size[i]
+            gain = 2 * (lean[others, s] - lean[i, s] - lean[others, t] + lean[i, t]) + 2 * square
             k = int(np.argmin(gain))
             if gain[k] < -1e-9:
                 j = others[k]
-                have[s] += d[k]
-                have[split[j]] -= d[k]
-                split[i], split[j], moved = split[j], s, moved + 1
+                have[s] += counts[j] - counts[i]
+                have[split[j]] -= counts[j] - counts[i]
+                split[i], split[j], moved, lean = split[j], s, moved + 1, None
         if not moved:
             break
     return split
@@ -104,7 +108,8 @@ def assign_parcels(counts: np.ndarray, shares: np.ndarray, rounds: int = 20) ->
 def assign_groups(groups: DataFrame, labels: DataFrame, shares: dict[str, float]) -> DataFrame:
     """``(record, grp, split_name)`` from ``groups(record, grp)`` and ``labels(record, label, n)``.
 
-    All records of a group get one split. Groups are gathered in parcels (by hash within the stratum of the group's
+    All records of a group get one split. Every label value counts in the deviation: the LABELS commonest each by itself,
+    the others in POOLS by hash. Groups are gathered in parcels (by hash within the stratum of the group's
     commonest label; large groups alone), of which there are at most STRATA * BUCKETS + OWN_PARCEL. Only the
     parcels' label counts reach the driver. A table without records gives no rows.
     """
@@ -113,7 +118,7 @@ def assign_groups(groups: DataFrame, labels: DataFrame, shares: dict[str, float]
     known = [r[0] for r in by_label.collect()]
     few = hot_keys(groups, "grp")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    named = labels.groupBy("record", F.when(F.col("label").isin(known), F.col("label")).otherwise(F.lit("other")).alias("label")).agg(F.sum("n").alias("n"))
+    named = labels.groupBy("record", F.when(F.col("label").isin(known), F.col("label")).otherwise(F.concat(F.lit("\u0001"), F.pmod(F.xxhash64("label"), F.lit(POOLS)))).alias("label")).agg(F.sum("n").alias("n"))
     of_group = salted_join(named, groups, "record", ["label"], "inner").groupBy("grp", "label").agg(F.sum("n").alias("n"))
     chief = of_group.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("chief"))
     placed = sizes.join(chief, "grp", "left").select(
@@ -138,3 +143,20 @@ def assign_groups(groups: DataFrame, labels: DataFrame, shares: dict[str, float]
     # At most STRATA * BUCKETS + OWN_PARCEL rows.
     assigned = placed.join(F.broadcast(where), "parcel").select("grp", "split_name")
     return salted_join(groups, assigned, "grp", ["record"], "inner", few).select("record", "grp", "split_name")
+
+
+def balance(assigned: DataFrame, labels: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``(split_name, records, share, target, deviation, worst)`` of each split with records.
+
+    ``deviation`` is the mean, over the label values weighed by their amount, of the distance between the split's share of the
+    value and its target share; ``worst`` the largest such distance among values of 100 or more. Both are null without labels.
+    """
+    sizes = assigned.groupBy("split_name").agg(F.count(F.lit(1)).alias("records"))
+    n, whole = assigned.count(), sum(shares.values())
+    target = F.coalesce(*[F.when(F.col("split_name") == s, F.lit(v / whole)) for s, v in sorted(shares.items())])
+    inside = labels.join(assigned.select("record", "split_name"), "record").groupBy("label").pivot("split_name", sorted(shares)).agg(F.sum("n"))
+    parts = inside.select("label", F.explode(F.map_from_arrays(F.array(*[F.lit(s) for s in sorted(shares)]), F.array(*[F.coalesce(F.col(f"`{s}`"), F.lit(0)) for s in sorted(shares)]))).alias("split_name", "n"))
+    total = parts.groupBy("label").agg(F.sum("n").alias("total"))
+    far = parts.join(total, "label").withColumn("off", F.abs(F.col("n") / F.col("total") - target))
+    far = far.groupBy("split_name").agg(F.round(F.sum(F.col("off") * F.col("total")) / F.sum("total"), 6).alias("deviation"), F.round(F.max(F.when(F.col("total") >= 100, F.col("off"))), 6).alias("worst"))
+    return sizes.join(far, "split_name", "left").select("split_name", "records", F.round(F.col("records") / F.lit(max(1, n)), 6).alias("share"), target.alias("target"), "deviation", "worst")

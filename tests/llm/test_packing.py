@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,6 +28,24 @@ def test_exchange_empties_a_bin():
     assert len(set(after.tolist())) == 2 and (np.bincount(after, weights=sizes) <= 12).all()
 
 
+def test_tiny_items_and_pairs_within_a_bin():
+    sizes = np.r_[np.ones(9000, dtype=np.int64), np.full(3, 4000)]
+    where, fill = best_fit(sizes, 8192)
+    assert len(set(local_search(sizes, where, fill, 8192).tolist())) == -(-int(sizes.sum()) // 8192)
+    # Two of bin 1 (2 and 3, not neighbours by size beside 4 and 6) against the 8 of bin 0, and the other way round.
+    for where in ([0, 1, 1, 1, 1, 2], [1, 0, 0, 0, 0, 2]):
+        after = local_search(np.array([8, 2, 3, 4, 6, 12]), np.array(where), np.bincount(where, weights=[8, 2, 3, 4, 6, 12]).astype(int).tolist(), 18)
+        assert np.bincount(after, weights=[8, 2, 3, 4, 6, 12]).max() <= 18 and len(set(after.tolist())) == 2
+
+
+def test_more_sizes_than_the_bound_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("packloom.llm.packing.MOST_SIZES", 2)
+    counts = spark.createDataFrame([(1, 5)], "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([(str(i), 10 + i) for i in range(3)], "container string, capacity bigint")
+    with pytest.raises(ValueError):
+        pack(counts, kinds)
+
+
 def test_pack_covers_every_token_once(spark):
     rows = [(i, (i * 37) % 900) for i in range(2000)] + [(9001, 512), (9002, 1025), (9003, 100_000)]
     counts = spark.createDataFrame(rows, "doc_id bigint, tokens bigint")
