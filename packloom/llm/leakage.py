@@ -2,7 +2,8 @@
 
 Items are partitioned by size. For each partition the documents are covered by half-overlapping windows as long as
 its largest item, so a short item inside a long document still agrees with one window in a good share of its minima.
-Pairs that agree often enough are verified by exact containment of shingles, in runs.
+Pairs that agree often enough, over all windows of the document together, are verified by exact containment of shingles, in
+runs. Items shorter than a shingle are searched for as they are.
 """
 
 from __future__ import annotations
@@ -86,9 +87,13 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.hashes, self.size, self.run = [], [], [], []
+        #: Items shorter than a shingle, by their letters.
+        self.short: dict[str, list[int]] = {}
         for item, text in rows:
             bare = letters(text or "")
             if len(bare) < K:
+                if bare:
+                    self.short.setdefault(bare, []).append(item)
                 continue
             han = sum("㐀" <= c <= "鿿" for c in bare)
             self.ids.append(item)
@@ -107,9 +112,24 @@ class Items:
                 tables.append((values, first, count, own[order]))
             self.partitions.append((int(w), tables))
 
+    def whole(self, texts: list[str]) -> list[tuple[int, int]]:
+        """(text number, item id) of every text in which a short item occurs."""
+        if not self.short:
+            return []
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for bare, ids in self.short.items():
+            automaton.add_word(bare, ids)
+        automaton.make_automaton()
+        return [(t, i) for t, text in enumerate(texts) for i in {i for _, ids in automaton.iter(text) for i in ids}] if len(automaton) else []
+
     def covered(self, item: int, text_hashes: np.ndarray) -> float:
-        """Share of the item's letters in runs of shingles that the text has, counting long runs only."""
-        there = np.isin(self.hashes[item], text_hashes)
+        """Share of the item's letters in runs of shingles that the text (its sorted hashes) has, counting long runs only."""
+        own = self.hashes[item]
+        there = text_hashes[np.minimum(np.searchsorted(text_hashes, own), len(text_hashes) - 1)] == own
+        if not there.any():
+            return 0.0
         edge = np.diff(np.r_[0, there.astype(np.int8), 0])
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + K - 1
         long = end - begin >= self.run[item]
@@ -158,13 +178,16 @@ def search(items: Items, texts: list[str]) -> list[tuple[int, int]]:
                 hit = np.flatnonzero((values[p] == row) & (row != _NONE))
                 n = count[p[hit]]
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                keys.append(np.repeat(hit, n) * len(items.ids) + members[np.repeat(begin[p[hit]], n) + offset])
+                # An item may lie in several windows, a run in each: a minimum counts once in whichever it is found.
+                keys.append(np.unique(np.repeat(of[hit], n) * len(items.ids) + members[np.repeat(begin[p[hit]], n) + offset]))
             pairs, agree = np.unique(np.concatenate(keys), return_counts=True)
-            pairs = pairs[agree >= AGREE]
-            candidates.append(of[pairs // len(items.ids)] * len(items.ids) + pairs % len(items.ids))
+            candidates.append(pairs[agree >= AGREE])
+        last, there = -1, h
         for pair in np.unique(np.concatenate(candidates)) if candidates else ():
             t, item = divmod(int(pair), len(items.ids))
-            if items.covered(item, h[start[t] : start[t] + size[t] - K + 1]) >= SHARE:
+            if t != last:
+                last, there = t, np.sort(h[start[t] : start[t] + size[t] - K + 1])
+            if items.covered(item, there) >= SHARE:
                 found.append((int(part[t]), item))
     return found
 
@@ -173,8 +196,8 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     """``(doc_id, item_id)`` for each document that reproduces at least half of an item in long runs.
 
     Documents are only read, never shuffled; items are looked for ITEMS_A_PASS at a time, so what is broadcast has a
-    bound whatever their number. Null and blank texts hold nothing; items of fewer than K letters are not looked
-    for; an item shorter than the shortest run must occur whole. A document id that occurs twice gives its rows twice.
+    bound whatever their number. Null and blank texts hold nothing, and items without a letter or digit occur nowhere; an
+    item shorter than the shortest run must occur whole. A document id that occurs twice gives its rows twice.
     """
     spark = documents.sparkSession
     names = ("doc_id", "item_id")
@@ -190,9 +213,11 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
             known = sketches.value
             for b in batches:
                 ids = b.column(0)
-                pairs = search(known, [letters(t) if t else "" for t in b.column(1).to_pylist()]) if known.ids else []
+                texts = [letters(t) if t else "" for t in b.column(1).to_pylist()]
+                pairs = [(t, known.ids[i]) for t, i in search(known, texts)] if known.ids else []
+                pairs += known.whole(texts)
                 docs = pa.array([x for x, _ in pairs], pa.int64())
-                yield pa.record_batch([ids.take(docs), pa.array([known.ids[i] for _, i in pairs], pa.int64())], names=names)
+                yield pa.record_batch([ids.take(docs), pa.array([i for _, i in pairs], pa.int64())], names=names)
 
         found = documents.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(scan, "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)

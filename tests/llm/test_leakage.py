@@ -14,7 +14,9 @@ def brute(items, docs, k=12):
     for d, doc in docs:
         t = letters(doc or "")
         for i, item in items:
-            s = letters(item)
+            s = letters(item or "")
+            if 0 < len(s) < k and s in t:
+                out.add((d, i))
             run = min(24 if sum("㐀" <= c <= "鿿" for c in s) * 3 >= len(s) else 60, len(s))
             inside = [False] * len(s)
             a = 0
@@ -54,8 +56,12 @@ def test_search_against_brute_force(spark):
             part = ""
         docs.append((n, text(rng, rng.randrange(0, 2500), own) + (" " if own else "") + part + (" " if own else "") + text(rng, rng.randrange(0, 2500), own)))
     docs += [(900, None), (901, ""), (902, "短"), (903, "、。 "), (904, items[0][1] * 40)]
+    # Also items shorter than a shingle, without letters, and null.
+    items += [(998, "ab"), (997, "水。电"), (996, "、 。"), (999, None)]
+    docs += [(905, "断水，电力不足"), (906, "断水断电"), (907, "A-B")]
     want = brute(items, docs)
-    got = {tuple(r) for r in leaked(spark.createDataFrame(docs, "d bigint, doc_text string").selectExpr("*", "'x' AS item_id").repartition(4), "d", "doc_text", spark.createDataFrame(items + [(999, None), (998, "ab")], "item_id bigint, text string"), "item_id", "text").collect()}
+    assert {(905, 997), (907, 998)} <= want
+    got = {tuple(r) for r in leaked(spark.createDataFrame(docs, "d bigint, doc_text string").selectExpr("*", "'x' AS item_id").repartition(4), "d", "doc_text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text").collect()}
     assert len(want) > 120
     assert not got - want
     assert len(want & got) >= 0.99 * len(want)
@@ -70,3 +76,16 @@ def test_empty_tables_and_widths(spark):
     assert leaked(docs, "d", "t", items, "i", "t").count() == 0
     assert search(Items([]), ["abc" * 30]) == []
     assert [width_of(x) for x in (1, 128, 129, 200, 300, 500, 600)] == [2, 2, 3, 4, 6, 8, 12]
+
+
+def test_runs_far_apart():
+    """Half an item in several long runs, each in another window: at least nine in ten are found."""
+    rng = random.Random(4)
+    for size, runs, length, gap in ((290, 6, 25, 400), (290, 4, 37, 800), (914, 7, 66, 1000)):
+        found = 0
+        for _ in range(60):
+            item = text(rng, size)
+            starts = [round(j * (size - length) / (runs - 1)) for j in range(runs)]
+            doc = text(rng, gap) + "".join(item[a : a + length] + text(rng, gap) for a in starts)
+            found += len(search(Items([(1, item)]), [doc]))
+        assert found >= 54
