@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from packloom.operators.quotient import QuotientTable, keep_once, permute, surplus
+from packloom.operators.quotient import QuotientTable, deliveries, identifier, keep_once, permute, surplus, unpermute
 from packloom.sources.tables import canonical_digest, canonical_sample_id
 
 SCHEMA = "id bigint, s string, d string, value string, shard int, words string"
@@ -22,6 +22,30 @@ def test_permutation_is_a_bijection():
     assert len({tuple(r) for r in permute(w).tolist()}) == len(w)
 
 
+def test_permutation_can_be_undone():
+    for width in (1, 2, 4, 16):
+        w = np.random.default_rng(width).integers(0, 2**63, (500, width), dtype=np.uint64)
+        assert (unpermute(permute(w)) == w).all()
+
+
+def test_different_messages_with_one_number(spark):
+    rows = [(7, "a", "x"), (7, "b", "y"), (7, "b", "y"), (8, "b", "y"), (9, "long" * 5000, "z"), (10, "long" * 5000, "z"), (11, "a", "x")]
+    df = spark.createDataFrame(rows, "id bigint, s string, d string").repartition(3)
+    keys = [F.col("s"), F.col("d")]
+    assert sorted((r["id"], r["s"][:4]) for r in keep_once(df, keys, "id").collect()) == [(7, "a"), (7, "b"), (9, "long")]
+    assert sorted(r[0] for r in surplus(df, keys, "id").collect()) == [7, 8, 10, 11]
+    # Short identifiers are not padded for the long one.
+    assert {len(r[0]) for r in df.select(identifier(keys)).collect()} == {16, 32768}
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr("packloom.operators.quotient.SHARD_ROWS", 4)
+    monkeypatch.setattr("packloom.operators.quotient.FLUSH_AT", 50)
+    df = spark.range(4000).selectExpr("id", "cast(id % 700 AS string) AS s")
+    got = deliveries(df, [F.col("s")], "id").collect()
+    assert len(got) == 4000 and sorted(r["value"] for r in got if not r["surplus"]) == list(range(700))
+
+
 def test_table_keeps_the_least_and_returns_the_rest():
     rng = random.Random(3)
     keys = [rng.randrange(400) for _ in range(5000)]
