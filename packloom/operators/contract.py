@@ -9,9 +9,18 @@ from packloom.functions.text import let
 
 # Beginnings of a pure refusal, and the refusal's one form.
 REFUSAL = "无法确定"
-REFUSAL_PREFIXES = """
-无法回答 不能确定 不能得出唯一确定结论 无法精确确定 不能精确确定 无法精确量化 不能精确量化 现有材料不足以确定 材料不足以确定 证据不足以确定
-""".split()
+REFUSAL_PREFIXES = [
+    "无法回答",
+    "不能确定",
+    "不能得出唯一确定结论",
+    "无法精确确定",
+    "不能精确确定",
+    "无法精确量化",
+    "不能精确量化",
+    "现有材料不足以确定",
+    "材料不足以确定",
+    "证据不足以确定",
+]
 ROUTES, MODES = ["strict_refusal", "limited_explanation", "answer"], ["none", "anchor", "path"]
 BLANKS = r"(?U)^\s+|\s+$"
 
@@ -102,22 +111,34 @@ def _tag(r: Column) -> Column:
     return F.when((r["kind"] == "OBJECT") & said.isNotNull() & (r["chain_kind"] == "LIST"), F.when(said == REFUSAL, exact).otherwise(phrase))
 
 
+def _rules(p: Column) -> Column:
+    r, tag = p["r"], p["tag"]
+    return F.struct(
+        r["kind"].alias("kind"),
+        F.when(tag.isNotNull(), F.lit(REFUSAL)).otherwise(r["answer"]).alias("said"),
+        F.when(tag == "exact_refusal_fields", F.array().cast("array<string>")).otherwise(r["chain"]).alias("chain"),
+        F.when(tag.isNull(), r["confidence"]).alias("number"),
+        (tag.isNull() & (r["confidence_kind"] != "NULL")).alias("given"),
+    )
+
+
+def _read(raw: Column) -> Column:
+    # A reply that is bare JSON is read once; the repair looks at the reply as it came.
+    fenced = F.startswith(stripped(raw), F.lit("```"))
+    return let(reply(raw), lambda r: F.struct(F.when(fenced, reply(unfenced(raw))).otherwise(r).alias("r"), _tag(r).alias("tag")))
+
+
+def content(raw: Column) -> Column:
+    """A reply's answer, chain and confidence, clear refusals in their one form: a struct ``(answer, chain, confidence)``."""
+    return let(_read(raw), lambda p: let(_rules(p), lambda x: F.struct(x["said"].alias("answer"), x["chain"].alias("chain"), x["number"].alias("confidence"))))
+
+
 def prediction_error(raw: Column, allowed: Column) -> Column:
     """The first rule that a reply breaks, or the empty text: JSON object, answer, chain of known ids without repeats, refusal and confidence.
 
     ``allowed`` is an array of the ids the reply may name. Clear refusals are put into their one form before.
     """
 
-    def rules(p: Column) -> Column:
-        r, tag = p["r"], p["tag"]
-        return F.struct(
-            r["kind"].alias("kind"),
-            F.when(tag.isNotNull(), F.lit(REFUSAL)).otherwise(r["answer"]).alias("said"),
-            F.when(tag == "exact_refusal_fields", F.array().cast("array<string>")).otherwise(r["chain"]).alias("chain"),
-            F.when(tag.isNull(), r["confidence"]).alias("number"),
-            (tag.isNull() & (r["confidence_kind"] != "NULL")).alias("given"),
-        )
-
     def error(x: Column) -> Column:
         said, chain, number = x["said"], x["chain"], x["number"]
         refused = said == REFUSAL
@@ -135,10 +156,7 @@ def prediction_error(raw: Column, allowed: Column) -> Column:
             .otherwise("")
         )
 
-    # A reply that is bare JSON is read once; the repair looks at the reply as it came.
-    fenced = F.startswith(stripped(raw), F.lit("```"))
-    both = let(reply(raw), lambda r: F.struct(F.when(fenced, reply(unfenced(raw))).otherwise(r).alias("r"), _tag(r).alias("tag")))
-    return let(both, lambda p: let(rules(p), error))
+    return let(_read(raw), lambda p: let(_rules(p), error))
 
 
 def two_field_error(raw: Column, allowed: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
-from packloom.operators.retrieval import bm25, known_anchors, ranked_candidates
+from packloom.operators.retrieval import bm25, hot_packs, known_anchors, ranked_candidates
 from packloom.session import cut_lineage
 from packloom.sources import relations as R
 
@@ -26,28 +29,38 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simple_paths(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = None, most_paths: int = MOST_PATHS) -> DataFrame:
     """``(pack, path)``: every single event and every directed path without repeats; with ``most_nodes``, those of at most so many events.
 
-    ``nodes(pack, event_id)``, ``edges(pack, src, dst)``. Each hop is one join on pack and event; it ends when no path grows.
-    A pack of more than ``most_paths`` paths raises an error, at the hop that goes beyond it; nothing is left out silently.
+    ``nodes(pack, event_id)``, ``edges(pack, src, dst)``. Each pack is one row with its events and different edges, and its paths
+    are walked in one pass over such rows, so two shuffles of edges do whatever the length. A pack of more than ``most_paths``
+    paths raises an error, before its edges are gathered if they alone are more; nothing is left out silently.
     """
-    links = cut_lineage(edges.select("pack", F.col("src").alias("last"), "dst").distinct())
-    front = nodes.select("pack", F.array("event_id").alias("path"), F.col("event_id").alias("last")).distinct()
-    levels = [front]
-    while most_nodes is None or len(levels) < most_nodes:
-        front = front.join(links, ["pack", "last"]).where(~F.array_contains("path", F.col("dst"))).select("pack", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
-        front = cut_lineage(front)
-        grown = front.groupBy("pack").count().orderBy(F.desc("count")).first()
-        if grown is None:
-            break
-        if grown["count"] > most_paths:
-            raise ValueError(f"more than {most_paths} paths in pack {grown['pack']}")
-        levels.append(front)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    over = out.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_paths).limit(5).collect()
-    if over:
+    links, starts = edges.select("pack", "src", "dst").distinct(), nodes.select("pack", "event_id").distinct()
+    gathered = starts.groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.collect_list("event_id").alias("starts"))
+    if (over := links.groupBy("pack").count().where(F.col("count") > most_paths).limit(5).collect()):
+        raise ValueError(f"more than {most_paths} paths in packs {[r['pack'] for r in over]}")
+    linked = links.groupBy("pack").agg(F.collect_list(F.struct("src", "dst")).alias("links"))
+    rows = gathered.join(linked, "pack", "left").select("pack", "starts", F.coalesce("links", F.array().cast("array<struct<src:string,dst:string>>")).alias("links"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for pack, begins, steps in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                after: dict[str, list[str]] = {}
+                for x in steps:
+                    after.setdefault(x["src"], []).append(x["dst"])
+                found: list[list[str] | None] = []
+                open_ = [[x] for x in begins]
+                while open_ and len(found) <= most_paths:
+                    path = open_.pop()
+                    found.append(path)
+                    if most_nodes is None or len(path) < most_nodes:
+                        open_ += [[*path, x] for x in after.get(path[-1], ()) if x not in path]
+                if len(found) > most_paths:
+                    found = [None]  # the mark of a pack that goes beyond the bound
+                yield pa.record_batch([pa.array([pack] * len(found)), pa.array(found, pa.list_(pa.string()))], names=["pack", "path"])
+
+    out = cut_lineage(rows.mapInArrow(walk, "pack string, path array<string>"))
+    if (over := out.where("path IS NULL").limit(5).collect()):
         raise ValueError(f"more than {most_paths} paths in packs {[r['pack'] for r in over]}")
-    return out.select("pack", "path")
+    return out
 
 
 def pack_paths(spark: SparkSession, sf_dir: str, most_nodes: int | None = None) -> DataFrame:
@@ -68,13 +81,10 @@ def path_hints(spark: SparkSession, sf_dir: str, limit: int = 3) -> DataFrame:
     ends = cut_lineage(ends.withColumn("free", F.count_if(F.col("fed").isNull()).over(Window.partitionBy("pack"))))
     roots, sinks = ends.where("fed IS NULL OR free = 0"), ends.where("feeds IS NULL").select("pack", F.col("event_id").alias("end"), F.lit(True).alias("sink"))
     paths = simple_paths(roots, e, MOST_NODES).withColumn("end", F.element_at("path", -1)).join(sinks, ["pack", "end"], "left").where((F.size("path") >= MOST_NODES) | F.col("sink"))
-    relevance = ranked_candidates(spark, sf_dir).select("sample_key", "event_id", "relevance")
-    asked = known_anchors(spark, sf_dir).select("sample_key", "pack", "ids").join(paths.select("pack", "path"), "pack")
-    nodes = asked.select("sample_key", "path", F.explode("path").alias("event_id")).join(relevance, ["sample_key", "event_id"], "left")
-    means = nodes.groupBy("sample_key", "path").agg(F.round(F.avg(F.coalesce("relevance", F.lit(0.0))), 6).alias("mean"))
+    asked = known_anchors(spark, sf_dir).select("sample_key", "pack", "ids").join(relevance_map(ranked_candidates(spark, sf_dir)), "sample_key", "left")
+    rows = asked.join(paths.select("pack", "path"), "pack").withColumn("mean", mean_relevance())
     cover = F.round(F.size(F.array_intersect("ids", "path")) / F.greatest(F.lit(1), F.size("ids")), 6)
     order = Window.partitionBy("sample_key").orderBy(F.desc(cover), F.desc("mean"), F.desc(F.size("path")), joined("path"))
-    rows = asked.join(means, ["sample_key", "path"])
     return rows.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= limit).select("sample_key", joined("path").alias("path"), "rnk")
 
 
@@ -88,12 +98,30 @@ def strength(level: Column) -> Column:
     return F.when(level == "certain", 1.0).when(level == "probable", 0.7).when(level == "possible", 0.4).otherwise(0.7)
 
 
-def path_strength(paths: DataFrame, levels: DataFrame) -> DataFrame:
-    """``(pack, path, strength)``: summed weights of a path's steps; a step without an edge weighs 0.5. ``levels(pack, src, dst, level)``."""
-    step = F.posexplode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("src"), b.alias("dst"))))
-    rows = paths.where(F.size("path") > 1).select("pack", "path", step.alias("p", "s")).select("pack", "path", "s.src", "s.dst")
-    known = levels.select("pack", "src", "dst", strength(F.col("level")).alias("w"))
-    return rows.join(known, ["pack", "src", "dst"], "left").groupBy("pack", "path").agg(F.round(F.sum(F.coalesce("w", F.lit(0.5))), 6).alias("strength"))
+def path_strength(paths: DataFrame, levels: DataFrame, single: bool = False) -> DataFrame:
+    """``(pack, path, strength)``: summed weights of a path's steps; a step without an edge weighs 0.5. ``levels(pack, src, dst, level)``.
+
+    Paths of one event are left out, or with ``single`` have no strength, 0.
+
+    A pack's weights meet its paths as one map, so paths are neither taken apart nor put together again.
+    """
+    known = levels.groupBy("pack").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(">", "src", "dst"), strength(F.col("level"))))).alias("weights"))
+    total = F.aggregate(T.steps(F.col("path")), F.lit(0.0), lambda acc, s: acc + F.coalesce(F.try_element_at("weights", s), F.lit(0.5)))
+    return paths.where(F.lit(single) | (F.size("path") > 1)).join(known, "pack", "left").select("pack", "path", F.round(total, 6).alias("strength"))
+
+
+def relevance_map(relevance: DataFrame) -> DataFrame:
+    """``(sample_key, rel)``: one map a question from the events of its pack to their relevance. ``relevance(sample_key, event_id, relevance)``."""
+    return relevance.groupBy("sample_key").agg(F.map_from_entries(F.collect_list(F.struct("event_id", "relevance"))).alias("rel"))
+
+
+def _relevance_of(event: Column) -> Column:
+    return F.coalesce(F.try_element_at("rel", event), F.lit(0.0))
+
+
+def mean_relevance() -> Column:
+    """Mean relevance of the events of ``path`` by the map ``rel``; an event without one counts 0."""
+    return F.round(F.aggregate("path", F.lit(0.0), lambda acc, x: acc + _relevance_of(x)) / F.size("path"), 6)
 
 
 def question_paths(spark: SparkSession, sf_dir: str, relevance: DataFrame, most_nodes: int | None = None) -> DataFrame:
@@ -101,14 +129,10 @@ def question_paths(spark: SparkSession, sf_dir: str, relevance: DataFrame, most_
 
     ``relevance(sample_key, event_id, relevance)``; a node without one counts 0.
     """
-    asked = R.questions(spark, sf_dir).select("sample_key", "pack")
+    asked = R.questions(spark, sf_dir).select("sample_key", "pack").join(relevance_map(relevance), "sample_key", "left")
     rows = asked.join(pack_paths(spark, sf_dir, most_nodes), "pack")
-    nodes = rows.select("sample_key", "pack", "path", F.explode("path").alias("event_id")).join(relevance, ["sample_key", "event_id"], "left")
-    value = F.coalesce("relevance", F.lit(0.0))
-    at = lambda c: F.max(F.when(F.col("event_id") == c, value))
-    return nodes.groupBy("sample_key", "pack", "path").agg(
-        F.round(F.avg(value), 6).alias("mean"), at(F.element_at("path", 1)).alias("first"), at(F.element_at("path", -1)).alias("last"), F.max(value).alias("best")
-    )
+    best = F.aggregate("path", F.lit(0.0), lambda acc, x: F.greatest(acc, _relevance_of(x)))
+    return rows.select("sample_key", "pack", "path", mean_relevance().alias("mean"), _relevance_of(F.element_at("path", 1)).alias("first"), _relevance_of(F.element_at("path", -1)).alias("last"), best.alias("best"))
 
 
 def conditioned_paths(spark: SparkSession, sf_dir: str, limit: int = 5) -> DataFrame:
@@ -144,7 +168,7 @@ def semantic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws(" ", F.coalesce("event_type", F.lit("")), F.coalesce("trigger_word", F.lit("")), F.substring(arguments, 1, 400), F.substring(F.coalesce("text", F.lit("")), 1, 400))
     texts = ev.join(docs, ["pack", "doc_id"], "left").select(F.col("pack").alias("corpus"), F.col("event_id").alias("item"), text.alias("text"))
     asked = R.questions(spark, sf_dir).select(F.col("sample_key").alias("query"), F.col("pack").alias("corpus"), F.regexp_replace("question", "D[0-9]{3,}", " ").alias("text"))
-    scores = bm25(asked, texts)
+    scores = bm25(asked, texts, hot_packs(spark, sf_dir))
     best = F.max("score").over(Window.partitionBy("query"))
     return scores.select(F.col("query").alias("sample_key"), F.col("item").alias("event_id"), F.round(F.col("score") / best, 6).alias("relevance"))
 

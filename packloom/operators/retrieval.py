@@ -2,40 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
-from packloom.operators.skew import salted_join
+from packloom.operators.skew import hot_keys, salted_join
 from packloom.session import cut_lineage
 from packloom.sources import relations as R
+from packloom.sources.tables import table
 
 K1, B = 1.2, 0.75
 
 
-def bm25(queries: DataFrame, texts: DataFrame) -> DataFrame:
+_TOKEN = re.compile(T.TOKEN.replace("\\x{4e00}", "\u4e00").replace("\\x{9fff}", "\u9fff"))
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of tokens of each (lower-case) text, as ``text.tokens`` has them, and counts of those that are wanted."""
+    shape = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+    last, wanted = None, frozenset()
+    for b in batches:
+        lengths, terms = [], []
+        for text, asked in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+            raw = _TOKEN.findall(text) if text else []
+            pairs = [x + y for x, y in zip(raw, raw[1:]) if len(x) == 1 == len(y)]
+            if asked != last:
+                last, wanted = asked, frozenset(asked.as_py())
+            n = Counter(raw)
+            n.update(pairs)
+            lengths.append(len(raw) + len(pairs))
+            terms.append([{"term": t, "tf": n[t]} for t in n.keys() & wanted])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths, pa.int32()), pa.array(terms, shape)], names=[b.schema.names[0], b.schema.names[1], "length", "terms"])
+
+
+def bm25(queries: DataFrame, texts: DataFrame, hot: list | None = None) -> DataFrame:
     """BM25 of each query against the texts of its own corpus: ``(query, corpus, item, score)``.
 
     ``queries(query, corpus, text)``, ``texts(corpus, item, text)``. Statistics are those of the corpus alone; a query's
     terms are a set; lengths count all tokens, pairs too. Items that share no term with the query give no row (their score
     is zero); null texts count as empty. Texts meet the different terms that their corpus is asked for, are tokenised once in that row, and
-    only the counts of such terms go on; rows of hot corpora are split.
+    only the counts of such terms go on; rows of hot corpora (``hot``, counted here if None) are split.
     """
     asked = queries.select("query", "corpus", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     wanted = asked.groupBy("corpus").agg(F.collect_set("term").alias("wanted"))
-    met = salted_join(texts.select("corpus", "item", "text"), wanted, "corpus", ["item"], "inner")
+    met = salted_join(texts.select("corpus", "item", "text"), wanted, "corpus", ["item"], "inner", hot)
 
-    def counts(x: Column) -> Column:
-        found = F.array_intersect(x["w"], x["t"])
-        of = F.transform(found, lambda term: F.struct(term.alias("term"), F.size(F.filter(x["t"], lambda y: y == term)).alias("tf")))
-        return F.struct(F.size(x["t"]).alias("length"), of.alias("terms"))
-
-    row = T.let(F.struct(F.col("wanted").alias("w"), T.tokens(F.coalesce("text", F.lit(""))).alias("t")), counts)
-    counted = cut_lineage(met.select("corpus", "item", row.alias("x")).select("corpus", "item", "x.length", "x.terms"))
+    # Counting in the JVM would compare each wanted term with each token by interpreted lambdas; one hash count a text does it over Arrow batches.
+    told = met.select("corpus", "item", F.lower("text").alias("text"), "wanted")
+    counted = cut_lineage(told.mapInArrow(_term_counts, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in told.schema.fields[:2])}, length int, terms array<struct<term:string,tf:int>>"))
     stats = counted.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.when(F.sum("length") == 0, F.lit(1.0)).otherwise(F.avg("length")).alias("mean"))
     tf = counted.select("corpus", "item", "length", F.inline("terms"))
     df = tf.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -46,6 +67,11 @@ def bm25(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return asked.join(parts, ["corpus", "term"]).groupBy("query", "corpus", "item").agg(F.sum("part").alias("score"))
 
 
+def hot_packs(spark: SparkSession, sf_dir: str) -> list:
+    """Packs with a large share of the events and documents, told from the key columns alone."""
+    return hot_keys(table(spark, sf_dir, "case_events").select("pack").unionByName(table(spark, sf_dir, "documents").select("pack")), "pack")
+
+
 def ranked_candidates(spark: SparkSession, sf_dir: str, weight: float = 1.0, semantic: DataFrame | None = None) -> DataFrame:
     """``(sample_key, pack, ord, event_id, score, relevance, rnk)`` for each question and candidate of its pack.
 
@@ -53,7 +79,7 @@ def ranked_candidates(spark: SparkSession, sf_dir: str, weight: float = 1.0, sem
     ``weight`` times that plus the rest times the cosine, where positive. Ties keep the candidates' order.
     """
     q, c = R.questions(spark, sf_dir), R.candidates(spark, sf_dir)
-    scores = bm25(q.select(F.col("sample_key").alias("query"), F.col("pack").alias("corpus"), F.col("question").alias("text")), c.select(F.col("pack").alias("corpus"), F.struct("ord", "event_id").alias("item"), "text"))
+    scores = bm25(q.select(F.col("sample_key").alias("query"), F.col("pack").alias("corpus"), F.col("question").alias("text")), c.select(F.col("pack").alias("corpus"), F.struct("ord", "event_id").alias("item"), "text"), hot_packs(spark, sf_dir))
     scores = scores.select(F.col("query").alias("sample_key"), "item.ord", "item.event_id", "score")
     every = q.select("sample_key", "pack").join(c.select("pack", "ord", "event_id"), "pack").join(scores, ["sample_key", "ord", "event_id"], "left")
     best = F.max("score").over(Window.partitionBy("sample_key"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot keys.
@@ -19,10 +19,11 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
     Counts are combined before the shuffle. Null keys never count, for they never match. Keys of PIECES rows or
     fewer are never hot.
     """
-    some = df.where(F.col(key).isNotNull()).select(key)
-    least = some.count() // share
-    rows = some.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(least, PIECES)).select(key).limit(share).collect()
-    return [r[0] for r in rows]
+    total = Observation()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).observe(total, F.sum("n").alias("rows"))
+    # One job: the rows are counted while the greatest keys are picked.
+    top = counts.orderBy(F.desc("n")).limit(share).collect()
+    return [r[0] for r in top if r["n"] > max(total.get["rows"] // share, PIECES)] if top else []
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, piece_by: Sequence[str], how: str = "left", hot: list | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ target1 AS (SELECT sample_key, pack, ids[-1] AS target FROM known1 WHERE len(ids
 
 @query(
     base(
-        """SELECT t.sample_key, array_to_string(p.path, '>') AS path FROM target1 AS t JOIN paths1 AS p ON p.pack = t.pack AND p.path[-1] = t.target
+        """SELECT t.sample_key, array_to_string(p.path, '>') AS path FROM target1 AS t JOIN paths1 AS p ON p.pack = t.pack AND p.path[-1] = t.target AND len(p.path) <= 12
         SEMI JOIN roots1 AS r ON r.pack = p.pack AND r.event_id = p.path[1]""",
         _ROOTS,
     )
@@ -105,8 +105,8 @@ def path_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NODE_MEANS = """nodes1 AS (
   SELECT q.sample_key, p.pack, p.path, round(avg(coalesce(r.relevance, 0.0)), 6) AS mean FROM questions1 AS q JOIN (SELECT pack, path, unnest(path) AS event_id FROM paths1 WHERE len(path) BETWEEN 2 AND 10) AS p ON p.pack = q.pack
   LEFT JOIN ranked AS r ON r.sample_key = q.sample_key AND r.event_id = p.event_id GROUP BY ALL)"""
-_INTENT = """CASE WHEN len(ids) > 0 AND regexp_matches(question, '直接(下游|后续|结果)|下一个事件') THEN path[1] = ids[1] AND len(path) = 2
-  WHEN len(ids) > 0 AND regexp_matches(question, '直接(上游|原因|前因)') THEN path[-1] = ids[1] AND len(path) = 2
+_INTENT = f"""CASE WHEN len(ids) > 0 AND regexp_matches(question, '{T.DIRECT_DOWN}') THEN path[1] = ids[1] AND len(path) = 2
+  WHEN len(ids) > 0 AND regexp_matches(question, '{T.DIRECT_UP}') THEN path[-1] = ids[1] AND len(path) = 2
   WHEN len(ids) >= 2 AND kind = 'counterfactual' THEN path[1] = ids[1] AND path[-1] = ids[-1]
   WHEN len(ids) > 0 AND kind = 'prospective' THEN path[1] = ids[-1] AND NOT list_contains(ids, path[-1])
   WHEN len(ids) > 0 AND kind = 'retrospective' THEN path[-1] = ids[1] ELSE false END"""
@@ -259,7 +259,7 @@ def components_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT sample_key, 9, 0.0, 0.0, 0.0, event_id FROM rank1 WHERE rnk = 1)) WHERE n = 1""",
         _ROOTS
         + f""", t1 AS (SELECT t.sample_key, t.pack, t.target, k.ids[1] AS first, q.question FROM target1 AS t JOIN known1 AS k USING (sample_key) JOIN questions1 AS q USING (sample_key)),
-        tp AS (SELECT t.sample_key, t.question, t.target, t.first, p.path AS p, array_to_string(p.path, '>') AS path, len(p.path)::DOUBLE AS n, coalesce(s.strength, 0.0) AS strength, m.mean FROM t1 AS t JOIN paths1 AS p ON p.pack = t.pack AND p.path[-1] = t.target
+        tp AS (SELECT t.sample_key, t.question, t.target, t.first, p.path AS p, array_to_string(p.path, '>') AS path, len(p.path)::DOUBLE AS n, coalesce(s.strength, 0.0) AS strength, m.mean FROM t1 AS t JOIN paths1 AS p ON p.pack = t.pack AND p.path[-1] = t.target AND len(p.path) <= 12
           SEMI JOIN roots1 AS r ON r.pack = p.pack AND r.event_id = p.path[1] SEMI JOIN edges0 AS z ON z.pack = t.pack
           LEFT JOIN (SELECT pack, path, round(sum(w), 6) AS strength FROM (SELECT p.pack, p.path, {_WEIGHT}::DOUBLE AS w FROM (SELECT pack, path, unnest(range(1, len(path))) AS i FROM paths1) AS p JOIN pairs1 AS e ON e.pack = p.pack AND e.src = p.path[p.i] AND e.dst = p.path[p.i + 1]) GROUP BY ALL) AS s ON s.pack = p.pack AND s.path = p.path
           JOIN (SELECT q.sample_key, p.path, round(avg(coalesce(r.relevance, 0.0)), 6) AS mean FROM questions1 AS q JOIN (SELECT pack, path, unnest(path) AS event_id FROM paths1) AS p ON p.pack = q.pack LEFT JOIN ranked AS r ON r.sample_key = q.sample_key AND r.event_id = p.event_id GROUP BY ALL) AS m ON m.sample_key = t.sample_key AND m.path = p.path)""",
@@ -285,26 +285,23 @@ def selected_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     def neighbour(df: DataFrame, own: str, other: str, at: str) -> DataFrame:
         return df.join(e.select("pack", F.col(own).alias(at), F.col(other).alias("event_id")), ["pack", at]).join(relevance, ["sample_key", "event_id"])
 
-    parts = [
+    direct = [
         rule(neighbour(t.where(F.contains("question", F.lit("直接原因"))), "dst", "src", "target"), 1, F.concat_ws(">", "event_id", "target"), F.col("relevance")),
         rule(neighbour(t.where(F.col("question").rlike("后续|影响|引发")), "src", "dst", "target"), 2, F.concat_ws(">", "target", "event_id"), F.col("relevance")),
     ]
+    direct = cut_lineage(direct[0].unionByName(direct[1]))
+    # Paths are walked only in packs of questions that the first rules leave open.
+    wanted = cut_lineage(t.join(direct, "sample_key", "left_anti").join(with_edges, "pack", "left_semi"))
+    some = wanted.select("pack").distinct()
     d = G.degrees(spark, sf_dir).withColumn("free", F.sum((F.col("indegree") == 0).cast("int")).over(Window.partitionBy("pack")))
-    roots = d.where("indegree = 0 OR free = 0").select("pack", F.col("event_id").alias("begin"))
-    paths = cut_lineage(G.pack_paths(spark, sf_dir, G.MOST_NODES))
-    strong = G.path_strength(paths, R.pair_levels(spark, sf_dir))
-    rooted = paths.select("pack", "path", F.element_at("path", 1).alias("begin"), F.element_at("path", -1).alias("target")).join(roots, ["pack", "begin"], "left_semi").join(strong, ["pack", "path"], "left")
-    tp = t.join(with_edges, "pack", "left_semi").join(rooted, ["pack", "target"])
-    nodes = tp.select("sample_key", "path", F.explode("path").alias("event_id")).join(relevance, ["sample_key", "event_id"], "left")
-    means = nodes.groupBy("sample_key", "path").agg(F.round(F.avg(F.coalesce("relevance", zero)), 6).alias("mean"))
-    tp = cut_lineage(tp.join(means, ["sample_key", "path"]).select("sample_key", "question", "ids", "target", "path", F.size("path").alias("n"), F.coalesce("strength", zero).alias("strength"), "mean"))
-    text = G.joined("path")
-    first = F.element_at("ids", 1)
-    parts += [
-        rule(tp.where((first != F.col("target")) & F.array_contains("path", first)), 3, text, F.col("n"), F.col("strength"), F.col("mean")),
-        rule(tp.where(F.col("question").rlike("自起点|一步步|完整|多跳|依次")), 4, text, F.col("n"), F.col("strength"), F.col("mean")),
-        rule(tp, 5, text, F.col("mean"), -F.col("n")),
-    ]
+    roots = d.where("indegree = 0 OR free = 0").select("pack", "event_id").join(some, "pack", "left_semi")
+    rooted = G.path_strength(G.simple_paths(roots, e.join(some, "pack", "left_semi"), G.MOST_NODES), R.pair_levels(spark, sf_dir), True).withColumn("target", F.element_at("path", -1))
+    tp = wanted.join(G.relevance_map(relevance), "sample_key", "left").join(rooted, ["pack", "target"])
+    text, first, n = G.joined("path"), F.element_at("ids", 1), F.size("path")
+    number = F.when((first != F.col("target")) & F.array_contains("path", first), 3).when(F.col("question").rlike("自起点|一步步|完整|多跳|依次"), 4).otherwise(5)
+    # A question's rows of the first rule that any of its paths meets go before the others, so each path counts for its own first rule.
+    tp = tp.withColumn("mean", G.mean_relevance()).select("sample_key", number.alias("rule"), F.when(number < 5, n).otherwise(F.col("mean")).cast("double").alias("a"), F.when(number < 5, F.col("strength")).otherwise(-n).cast("double").alias("b"), F.when(number < 5, F.col("mean")).otherwise(zero).alias("c"), text.alias("path"))
+    parts = [direct, tp]
     top = rel.where("rnk = 1").select("sample_key", "pack", F.col("event_id").alias("top"))
     parts += [
         rule(neighbour(top, "dst", "src", "top"), 6, F.concat_ws(">", "event_id", "top"), F.col("relevance")),
@@ -315,5 +312,5 @@ def selected_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
-    order = Window.partitionBy("sample_key").orderBy("rule", F.desc("a"), F.desc("b"), F.desc("c"), "path")
-    return every.withColumn("n", F.row_number().over(order)).where("n = 1").select("sample_key", "path")
+    best = F.min(F.struct("rule", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), (-F.col("c")).alias("c"), "path"))
+    return every.groupBy("sample_key").agg(best.alias("best")).select("sample_key", "best.path")

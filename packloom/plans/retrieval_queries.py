@@ -123,8 +123,8 @@ def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     base(
         """SELECT q.sample_key, regexp_replace(q.pack, '_[^_]*$', '') AS domain,
-        CASE WHEN len(ids) > 0 AND regexp_matches(question, '直接(下游|后续|结果)|下一个事件') THEN 'direct_down'
-             WHEN len(ids) > 0 AND regexp_matches(question, '直接(上游|原因|前因)') THEN 'direct_up'
+        CASE WHEN len(ids) > 0 AND regexp_matches(question, '""" + T.DIRECT_DOWN + """') THEN 'direct_down'
+             WHEN len(ids) > 0 AND regexp_matches(question, '""" + T.DIRECT_UP + """') THEN 'direct_up'
              WHEN len(ids) >= 2 AND kind = 'counterfactual' THEN 'from_to'
              WHEN len(ids) > 0 AND kind = 'prospective' THEN 'future'
              WHEN len(ids) > 0 AND kind = 'retrospective' THEN 'upstream' ELSE 'general' END AS intent

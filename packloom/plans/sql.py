@@ -82,7 +82,7 @@ paths1 AS (
   SELECT pack, [event_id] AS path FROM events1
   UNION ALL
   SELECT p.pack, list_append(p.path, e.dst) FROM paths1 AS p JOIN (SELECT DISTINCT pack, src, dst FROM edges1) AS e ON e.pack = p.pack AND e.src = p.path[-1]
-  WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 12)
+  WHERE NOT list_contains(p.path, e.dst))
 """
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,22 +15,35 @@ def write_lines(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def write_json(value, path: str) -> None:
-    """A small JSON file of the driver's, complete or not there at all."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".part")
-    part.write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    os.replace(part, target)
+    """A small JSON document on any file system that Spark reaches, complete or as it was before.
+
+    It is written beside its place and renamed over it by the file system in one operation.
+    """
+    spark = SparkSession.getActiveSession()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    stream = target.getFileSystem(conf).create(draft, True)
+    try:
+        stream.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
+    finally:
+        stream.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    fs = target.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(target), over)
 
 
 class ResultStore:
     """Append-only results under one signature, so that an interrupted run goes on where it stopped.
 
-    ``signature`` names what the results depend on; opening a store with another one raises an error.
+    ``signature`` names what the results depend on; opening a store with another one raises an error. With ``valid``, a
+    condition on a result's columns, results that do not meet it count as not there: they are done again and not handed out.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, signature: dict):
+    def __init__(self, spark: SparkSession, path: str, key: str, signature: dict, valid: Column | None = None):
         self.spark, self.path, self.key = spark, path, key
+        self.valid = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
         self._rows, mark = f"{path}/rows", f"{path}/signature"
         wanted = json.dumps(signature, sort_keys=True, ensure_ascii=False)
         fs_path = spark._jvm.org.apache.hadoop.fs.Path(mark)
@@ -50,7 +62,7 @@ class ResultStore:
         """The items whose key has no result yet."""
         if not self._exists():
             return items
-        done = self.spark.read.parquet(self._rows).select(self.key).distinct()
+        done = self.spark.read.parquet(self._rows).where(self.valid).select(self.key).distinct()
         return items.join(done, self.key, "left_anti")
 
     def append(self, results: DataFrame) -> None:
@@ -59,7 +71,7 @@ class ResultStore:
 
     def finish(self, expected: DataFrame) -> DataFrame:
         """All results, one for each key; an error if expected keys lack a result or results have unexpected keys."""
-        rows = self.spark.read.parquet(self._rows).dropDuplicates([self.key])
+        rows = self.spark.read.parquet(self._rows).where(self.valid).dropDuplicates([self.key])
         want = expected.select(self.key).distinct()
         lacking = want.join(rows, self.key, "left_anti").limit(5).collect()
         other = rows.join(want, self.key, "left_anti").limit(5).collect()

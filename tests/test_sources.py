@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from packloom.sources import packs, sinks
 
@@ -48,6 +49,18 @@ def test_lines_and_partitions(spark, tmp_path):
     assert [p.read_text().strip() for p in (tmp_path / "out/split=fit/view=A").glob("*.json")] == ['{"x":null}']
     sinks.write_json({"a": "甲"}, str(tmp_path / "d/m.json"))
     assert json.loads((tmp_path / "d/m.json").read_text()) == {"a": "甲"}
+    sinks.write_json({"b": 2}, str(tmp_path / "d/m.json"))
+    assert json.loads((tmp_path / "d/m.json").read_text()) == {"b": 2}
+    assert [p.name for p in (tmp_path / "d").iterdir() if not p.name.endswith(".crc")] == ["m.json"]
+
+
+def test_invalid_results_are_done_again(spark, tmp_path):
+    items = spark.createDataFrame([("a",), ("b",)], "k string")
+    store = sinks.ResultStore(spark, str(tmp_path / "v"), "k", {}, F.col("v") > 0)
+    store.append(spark.createDataFrame([("a", 1), ("b", -1)], "k string, v int"))
+    assert [r["k"] for r in store.open_items(items).collect()] == ["b"]
+    store.append(spark.createDataFrame([("b", 3)], "k string, v int"))
+    assert sorted(map(tuple, store.finish(items).collect())) == [("a", 1), ("b", 3)]
 
 
 def test_results_resume(spark, tmp_path):
