@@ -2,15 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NUMERIC = ["relevance", "place", "reciprocal", "anchor", "indegree", "outdegree", "label_chars", "label_in_question", "retrospective", "prospective", "counterfactual", "unanswerable"]
+from packloom.functions import text as T
+from packloom.operators.retrieval import known_anchors, ranked_candidates
+from packloom.sources import relations as R
+
+KINDS = ["retrospective", "prospective", "counterfactual", "unanswerable"]
+NUMERIC = ["relevance", "place", "anchor", "label_overlap", "text_overlap", "number", "text_chars", "named_share", "question_chars", "visible", "outdegree", "indegree", *KINDS]
 #: Feature rows, about, from which the trees are fitted; rows beyond are left out by a hash of their sample.
 MOST_ROWS = 200_000
 
 
-def fit(features: DataFrame, labels: DataFrame, seed: int = 7, rounds: int = 20):
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(sample_key, event_id, *NUMERIC)`` of each question and candidate of its pack, sizes over the pack's number of candidates.
+
+    In the views that hide the graph (tracks B and C) degrees are 0. Tokens of the label, of the text's first 600 characters and of the
+    question are compared as sets.
+    """
+    e = R.edges(spark, sf_dir)
+    degree = lambda own, to: e.groupBy("pack", F.col(own).alias("event_id")).agg(F.count(F.lit(1)).alias(to))
+    kinds = [F.coalesce((F.col("kind") == k).cast("int"), F.lit(0)).alias(k) for k in KINDS]
+    q = R.questions(spark, sf_dir).select("sample_key", "question", "kind", F.coalesce(~F.col("track").isin("B", "C"), F.lit(True)).alias("shown"), F.array_distinct(T.tokens(F.col("question"))).alias("qt"))
+    c = R.candidates(spark, sf_dir).select("pack", "event_id", F.length("text").alias("chars"), F.array_distinct(T.tokens(F.col("label"))).alias("lt"), F.array_distinct(T.tokens(F.substring("text", 1, 600))).alias("xt"))
+    c = c.join(degree("src", "out"), ["pack", "event_id"], "left").join(degree("dst", "into"), ["pack", "event_id"], "left")
+    rows = ranked_candidates(spark, sf_dir).join(q, "sample_key").join(known_anchors(spark, sf_dir).drop("pack"), "sample_key").join(c, ["pack", "event_id"])
+    own = Window.partitionBy("sample_key")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("ord", "event_id")) - 1)
+    part = lambda x, whole: F.round(x / F.greatest(F.lit(1), whole), 6)
+    seen = lambda x: F.when(F.col("shown"), part(F.coalesce(x, F.lit(0)), F.col("n"))).otherwise(0.0)
+    digits = F.nullif(F.regexp_extract("event_id", "([0-9]+)", 1), F.lit("")).try_cast("double")
+    return rows.select(
+        "sample_key",
+        "event_id",
+        "relevance",
+        part(F.col("rnk") - 1, F.col("n") - 1).alias("place"),
+        F.array_contains("ids", F.col("event_id")).cast("int").alias("anchor"),
+        part(F.size(F.array_intersect("qt", "lt")), F.size("lt")).alias("label_overlap"),
+        part(F.size(F.array_intersect("qt", "xt")), F.size("qt")).alias("text_overlap"),
+        part(F.coalesce(digits, F.col("nth")), F.col("n")).alias("number"),
+        F.round(F.least("chars", F.lit(1200)) / 1200, 6).alias("text_chars"),
+        part(F.size("ids"), F.col("n")).alias("named_share"),
+        F.round(F.least(F.length("question"), F.lit(500)) / 500, 6).alias("question_chars"),
+        F.col("shown").cast("int").alias("visible"),
+        seen(F.col("out")).alias("outdegree"),
+        seen(F.col("into")).alias("indegree"),
+        *kinds,
+    )
+
+
+def ablated(features: DataFrame, what: str = "none") -> DataFrame:
+    """``features`` with nothing told by ids and their order (``id_position``), and by question types too (``id_position_and_type``)."""
+    gone = {"none": [], "id_position": ["anchor", "number"], "id_position_and_type": ["anchor", "number", *KINDS]}[what]
+    return features.select(*[F.lit(0.0).alias(c) if c in gone else F.col(c) for c in features.columns])
+
+
+def fit(features: DataFrame, labels: DataFrame, seed: int = 7, rounds: int = 120):
     """A model from ``features(sample_key, event_id, ...)`` and ``labels(sample_key, event_id)`` (the events of gold chains)."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -19,7 +67,7 @@ def fit(features: DataFrame, labels: DataFrame, seed: int = 7, rounds: int = 20)
     share = max(1, rows.count() // MOST_ROWS)
     rows = rows.where(F.pmod(F.xxhash64("sample_key"), F.lit(share)) == 0)
     vectors = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(rows).select("features", "label")
-    return GBTClassifier(maxIter=rounds, maxDepth=4, seed=seed).fit(vectors)
+    return GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.07, seed=seed).fit(vectors)
 
 
 def rank(model, features: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packloom.plans import dataset_queries, general, graph_queries, join_queries, metric_queries, report_queries, retrieval_queries
+from packloom.plans import dataset_queries, general, graph_queries, join_queries, metric_queries, report_queries, retrieval_queries, vector_queries
 
-MODULES = [general, retrieval_queries, graph_queries, metric_queries, dataset_queries, join_queries, report_queries]
+MODULES = [general, retrieval_queries, graph_queries, metric_queries, dataset_queries, join_queries, report_queries, vector_queries]
 
 
 def queries() -> dict:

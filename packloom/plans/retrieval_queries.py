@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.functions import text as T
-from packloom.operators import ranker
 from packloom.operators import retrieval as V
 from packloom.operators.generate import generate, mock_model
 from packloom.plans.sql import base, steps, tokens
-from packloom.session import cut_lineage
 from packloom.sources import relations as R
 from packloom.sources.tables import table
 
@@ -294,16 +292,6 @@ def ranking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def learned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three best candidates of each question by a ranker fitted on the gold chains of even-numbered packs."""
-    features = cut_lineage(ranking_features(spark, sf_dir))
-    g = R.gold(spark, sf_dir).where(F.crc32("pack") % 2 == 0)
-    labels = g.select("sample_key", F.explode(F.flatten("chains")).alias("event_id"))
-    model = ranker.fit(features.join(g.select("sample_key"), "sample_key", "left_semi"), labels)
-    return ranker.rank(model, features).where("rnk <= 3")
-
-
 @query()
 def mock_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checked replies of a stand-in generator to every question."""
