@@ -65,6 +65,14 @@ said1 AS (SELECT *, CASE WHEN tag IS NOT NULL THEN '无法确定' WHEN json_type
   CASE WHEN tag IS NULL AND json_type(v, '$.confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN json_extract_string(v, '$.confidence')::DOUBLE END AS number, tag IS NULL AND coalesce(json_type(v, '$.confidence'), 'NULL') <> 'NULL' AS given FROM parsed1)"""
 
 
+_TWO = rf"""{_REPLIES},
+thought1 AS (SELECT delivery_id, allowed, CASE WHEN contains(raw, '<think>') AND NOT contains(raw, '</think>') THEN NULL ELSE regexp_replace(raw, '^.*</think>', '', 's') END AS text FROM replies1),
+bare1 AS (SELECT *, regexp_replace({_TRIM.format("text")}, '^```[^\n]*\n(.*)\n[^\S\n]*```[^\S\n]*$', '\1', 's') AS inside FROM thought1),
+object1 AS (SELECT *, {_J.format("inside")} AS v FROM bare1),
+spoken1 AS (SELECT *, CASE WHEN json_type(v, '$.answer') = 'VARCHAR' THEN {_TRIM.format("json_extract_string(v, '$.answer')")} END AS said,
+  CASE WHEN json_type(v, '$.evidence_chain') = 'ARRAY' AND len(list_filter(json_extract(v, '$.evidence_chain[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0 THEN list_transform(json_extract_string(v, '$.evidence_chain[*]'), lambda x: {_TRIM.format("x")}) END AS chain FROM object1)"""
+
+
 @query(
     base(
         """SELECT delivery_id, CASE WHEN v IS NULL THEN 'not_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN said IS NULL OR said = '' THEN 'answer_blank' WHEN chain IS NULL THEN 'chain_not_ids'
@@ -78,7 +86,14 @@ def prediction_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("delivery_id", C.prediction_error(F.col("raw"), F.col("allowed")).alias("error"))
 
 
-@query()
+@query(
+    base(
+        """SELECT delivery_id, CASE WHEN text IS NULL THEN 'thinking_open' WHEN v IS NULL THEN 'not_json' WHEN json_type(v) <> 'OBJECT' THEN 'not_object' WHEN list_sort(json_keys(v)) <> ['answer', 'evidence_chain'] THEN 'other_fields'
+        WHEN said IS NULL OR said = '' THEN 'answer_blank' WHEN chain IS NULL THEN 'chain_not_ids' WHEN len(list_filter(chain, lambda x: NOT list_contains(allowed, x))) > 0 THEN 'unknown_id'
+        WHEN len(list_distinct(chain)) < len(chain) THEN 'repeated_id' WHEN (said = '无法确定') <> (len(chain) = 0) THEN 'refusal_fields' ELSE '' END AS error FROM spoken1""",
+        _TWO,
+    )
+)
 def two_field_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that each raw reply breaks if it may hold an answer and a chain only."""
     return _replies(spark, sf_dir).select("delivery_id", C.two_field_error(F.col("raw"), F.col("allowed")).alias("error"))

@@ -195,7 +195,19 @@ def chain_subsequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.predictions(spark, sf_dir).select("pred_id", F.explode(G.contiguous_trims(F.col("chain"))).alias("part")).select("pred_id", G.joined("part").alias("part"))
 
 
-@query()
+_CANDIDATES = """drafts1 AS (SELECT p.pred_id, p.chain, k.ids, coalesce(l.links, []) AS links FROM preds1 AS p JOIN known1 AS k USING (sample_key)
+  LEFT JOIN (SELECT pack, list([src, dst] ORDER BY pos, src, dst) AS links FROM edges1 GROUP BY pack) AS l ON l.pack = p.pack),
+every1 AS (
+  SELECT pred_id, 0 AS part, 0 AS a, 0 AS b, NULL::BIGINT[] AS p, chain AS c FROM drafts1
+  UNION ALL SELECT pred_id, 1, l, -r, NULL, chain[l:r] FROM (SELECT *, unnest(range(l, len(chain) + 1)) AS r FROM (SELECT *, unnest(range(1, len(chain) + 1)) AS l FROM drafts1)) WHERE r - l + 1 < len(chain)
+  UNION ALL SELECT pred_id, 2, -len(p), 0, p, list_transform(p, lambda i: chain[i]) FROM (SELECT *, list_filter(range(1, len(chain) + 1), lambda i: (m >> (i - 1)) % 2 = 1) AS p FROM (SELECT *, unnest(range(1, 1 << len(chain))) AS m FROM drafts1 WHERE len(chain) BETWEEN 3 AND 7)) WHERE len(p) >= 2 AND len(p) < len(chain) AND p[-1] - p[1] + 1 > len(p)
+  UNION ALL SELECT pred_id, 3, i, 0, NULL, [ids[i]] FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM drafts1)
+  UNION ALL SELECT pred_id, 4, i, 0, NULL, links[i] FROM (SELECT *, unnest(range(1, len(links) + 1)) AS i FROM drafts1) WHERE list_has_any(links[i], ids)),
+skips1 AS (SELECT *, CASE WHEN part = 2 THEN row_number() OVER (PARTITION BY pred_id, part ORDER BY a, p) ELSE 0 END AS z FROM every1),
+first1 AS (SELECT pred_id, c, min(part * 1000000 + CASE part WHEN 1 THEN a * 1000 + 500 + b WHEN 2 THEN z ELSE a END) AS placed FROM skips1 WHERE len(c) > 0 AND len(list_distinct(c)) = len(c) GROUP BY ALL)"""
+
+
+@query(base("SELECT pred_id, (nth - 1)::INT AS place, array_to_string(c, '>') AS chain FROM (SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY placed) AS nth FROM first1) WHERE nth <= 16", _CANDIDATES))
 def chain_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains to check beside each prediction's, sixteen at most."""
     links = R.edges(spark, sf_dir).select("pack", "pos", F.array("src", "dst").alias("e")).groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("links"))
