@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from packloom.llm.leakage import Items, leaked, letters, search, width_of
 
 HAN = [chr(0x4E00 + i) for i in range(3000)]
@@ -9,6 +11,11 @@ def text(rng, n, words=None):
     return "".join(rng.choice(HAN) for _ in range(n)) if words is None else " ".join(rng.choice(words) for _ in range(n))
 
 
+def found(spark, docs, items):
+    df = spark.createDataFrame(docs, "d bigint, doc_text string").selectExpr("*", "'x' AS item_id").repartition(4)
+    return leaked(df, "d", "doc_text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+
+
 def brute(items, docs, k=12):
     out = set()
     for d, doc in docs:
@@ -32,7 +39,9 @@ def brute(items, docs, k=12):
     return out
 
 
-def test_search_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [4000, 3])
+def test_search_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("packloom.llm.leakage.ITEMS_A_PASS", broadcast)
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(800)]
     items = [(i, text(rng, rng.randrange(60, 700))) for i in range(30)] + [(100 + i, text(rng, rng.randrange(60, 160), words)) for i in range(10)]
@@ -61,7 +70,7 @@ def test_search_against_brute_force(spark):
     docs += [(905, "断水，电力不足"), (906, "断水断电"), (907, "A-B")]
     want = brute(items, docs)
     assert {(905, 997), (907, 998)} <= want
-    got = {tuple(r) for r in leaked(spark.createDataFrame(docs, "d bigint, doc_text string").selectExpr("*", "'x' AS item_id").repartition(4), "d", "doc_text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text").collect()}
+    got = {tuple(r) for r in found(spark, docs, items).collect()}
     assert len(want) > 120
     assert not got - want
     assert len(want & got) >= 0.99 * len(want)
@@ -89,3 +98,13 @@ def test_runs_far_apart():
             doc = text(rng, gap) + "".join(item[a : a + length] + text(rng, gap) for a in starts)
             found += len(search(Items([(1, item)]), [doc]))
         assert found >= 54
+
+
+def test_both_ways_find_the_same(spark, monkeypatch):
+    """Thousands of items, a third of the documents a copy of one text, an id that occurs twice."""
+    rng = random.Random(12)
+    items = [(i, text(rng, rng.randrange(30, 200))) for i in range(5000)]
+    docs = [(n, text(rng, 100) + items[n * 7][1] + text(rng, 100) if n % 3 else items[1][1] + items[2][1]) for n in range(300)] + [(5, items[9][1])]
+    many = sorted(map(tuple, found(spark, docs, items).collect()))
+    monkeypatch.setattr("packloom.llm.leakage.ITEMS_A_PASS", 6000)
+    assert many == sorted(map(tuple, found(spark, docs, items).collect())) and (5, 9) in many and (3, 2) in many and len(many) >= 400
