@@ -9,6 +9,7 @@ a path of edges from the record's root.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ REMEMBER = 200_000
 #: What may stand around JSON text: its own blanks, other white space and a byte-order mark.
 _AROUND = "\ufeff \t\n\r\f\v\u00a0\u3000"
 
+_BEGINS = frozenset('{["' + _AROUND)
+
 EDGE = "parent binary, member string, ordinal int, child binary, kind string, value string, root_id bigint"
 _SCHEMA = pa.schema(
     [("parent", pa.binary()), ("member", pa.string()), ("ordinal", pa.int32()), ("child", pa.binary()), ("kind", pa.string()), ("value", pa.string()), ("root_id", pa.int64())]
@@ -90,7 +93,7 @@ def _parsed_deep(text: str):
 
 def opened(value):
     """``value``, or what it holds if it is text that is itself a complete JSON object or array, however often it was quoted."""
-    while type(value) is str:
+    while type(value) is str and value[:1] in _BEGINS:
         text = value.strip(_AROUND)
         if text[:1] not in ("{", "[", '"'):
             return value
@@ -112,23 +115,14 @@ def opened(value):
 _KINDS = {type(None): "null", bool: "boolean", _Number: "number", _Constant: "constant", str: "text"}
 
 
-def _scalar(value) -> str | None:
-    if value is None:
-        return None
-    return ("true" if value else "false") if type(value) is bool else str(value)
-
+_BOOLEANS = {True: "true", False: "false"}
 
-def _frame(value) -> list:
-    array = type(value) is list
-    digest = hashlib.blake2b(b"[" if array else b"{", digest_size=16)
-    return [iter([(None, x) for x in value] if array else sorted(value.items())), None, digest, []]
 
-
-def _add(frame: list, name: str | None, below: bytes | None, kind: str, text: str | None) -> None:
-    name_b = b"" if name is None else name.encode("utf-8", "surrogatepass")
-    text_b = b"" if text is None else text.encode("utf-8", "surrogatepass")
-    frame[2].update(b"%d:%s%s%d:%s%s" % (len(name_b), name_b, kind.encode(), len(text_b), text_b, below or b""))
-    frame[3].append((name, len(frame[3]), below, kind, text))
+def _frame(value) -> tuple[Iterator, list[str], list[tuple]]:
+    """Members still to come, the canonical form so far, and the rows."""
+    if type(value) is list:
+        return zip(itertools.repeat(None), value), ["["], []
+    return iter(sorted(value.items())), ["{"], []
 
 
 def shred(value, sink) -> bytes:
@@ -137,29 +131,42 @@ def shred(value, sink) -> bytes:
     Members of an object are ordered by name, elements of an array keep their place, so that objects that differ in
     the order of their members only are the same. Values are walked with a stack of their own, so no depth is too deep.
     """
-    stack = [_frame(value)]
+    items, form, rows = _frame(value)
+    above: list[tuple] = []
     while True:
-        frame = stack[-1]
-        for name, child in frame[0]:
-            child = opened(child)
-            kind = _KINDS.get(type(child))
+        for name, child in items:
+            shape = type(child)
+            if shape is str and child[:1] in _BEGINS:
+                child = opened(child)
+                shape = type(child)
+            kind = _KINDS.get(shape)
             if kind is None:
-                frame[1] = (name, "array" if type(child) is list else "object")
-                stack.append(_frame(child))
+                above.append((items, form, rows, name, "array" if shape is list else "object"))
+                items, form, rows = _frame(child)
                 break
-            _add(frame, name, None, kind, _scalar(child))
+            # Lengths go first, so no two different objects have one form.
+            if child is None:
+                text, told = None, kind
+            else:
+                text = _BOOLEANS[child] if shape is bool else child
+                told = f"{kind}{len(text)}:{text}"
+            form.append(told if name is None else f"{len(name)}:{name}{told}")
+            rows.append((name, len(rows), None, kind, text))
         else:
-            identity = frame[2].digest()
-            sink(identity, frame[3])
-            stack.pop()
-            if not stack:
+            identity = hashlib.blake2b("".join(form).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            sink(identity, rows)
+            if not above:
                 return identity
-            name, kind = stack[-1][1]
-            _add(stack[-1], name, identity, kind, None)
+            items, form, rows, name, kind = above.pop()
+            form.append(f"{kind}{identity.hex()}" if name is None else f"{len(name)}:{name}{kind}{identity.hex()}")
+            rows.append((name, len(rows), identity, kind, None))
 
 
-def _safe(text: str | None) -> str | None:
-    return text if text is None else text.encode("utf-8", "replace").decode("utf-8")
+def _texts(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # half a surrogate pair
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode("utf-8") for v in values], pa.string())
 
 
 def _shredder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +175,20 @@ def _shredder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def sink(identity: bytes, rows: list[tuple]) -> None:
-            if identity in known:
-                return
-            known.add(identity)
-            out.append((identity, None, -1, None, "empty" if not rows else "self", None, None))
-            out.extend((identity, _safe(m), i, c, k, _safe(v), None) for m, i, c, k, v in rows)
+            if identity not in known:
+                known.add(identity)
+                out.append((identity, None, -1, None, "self" if rows else "empty", None, None))
+                out.extend([(identity, *r, None) for r in rows])
 
         for rid, payload, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if payload is None:
-                continue
-            value = opened(payload)
-            if type(value) is not dict:
-                continue
-            out.append((None, None, None, shred(value, sink), "root", str(row), rid))
+            if payload is not None and type(value := opened(payload)) is dict:
+                # The row's number stands for the parent, so that roots spread even if they are all the same.
+                out.append((str(row).encode(), None, -1, shred(value, sink), "root", None, rid))
         if len(known) > REMEMBER:
             known = set()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([_texts(x) if t == pa.string() else pa.array(x, t) for x, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
 class Store:
@@ -204,8 +208,7 @@ class Store:
         col = F.col(f"`{payload}`") if isinstance(payload, str) else payload
         # The row's number keeps records that are equal in key and payload apart.
         rows = df.select(F.col(f"`{record}`").cast("bigint"), col, F.monotonically_increasing_id()).where(col.isNotNull()).mapInArrow(_shredder, EDGE)
-        # Roots have no parent: their own record number spreads them.
-        placed = rows.repartition(F.coalesce(F.xxhash64("parent"), F.xxhash64("root_id"))).distinct()
+        placed = rows.repartition("parent").distinct()
         self._rows = write_shared(placed.sortWithinPartitions("kind", "member"))
         self.roots = self._rows.where("kind = 'root'").select(F.col("root_id").alias(record), F.col("child").alias("root"))
         #: Bridge rows, one for each place below each distinct parent.
