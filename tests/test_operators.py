@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packloom.operators import checks, contract, dataset, graph, metrics, retrieval
 from packloom.operators.generate import generate
 from packloom.operators.skew import salted_join
+from packloom.sources import relations
 
 
 def test_bm25_against_the_formula(spark):
@@ -41,6 +42,16 @@ def test_bm25_against_the_formula(spark):
     assert retrieval.bm25(q.limit(0), t.limit(0)).count() == 0
 
 
+def test_nothing_that_grows_is_broadcast(spark, tmp_path):
+    spark.createDataFrame([("q1", "a", "内涝水位"), ("q2", "b", "flood")], "query string, corpus string, text string").write.parquet(f"{tmp_path}/q")
+    spark.createDataFrame([("a", 1, "内涝"), ("b", 2, "storm flood")], "corpus string, item int, text string").write.parquet(f"{tmp_path}/t")
+    sf = "/root/testdata/sf0.001"
+    scores = retrieval.bm25(spark.read.parquet(f"{tmp_path}/q"), spark.read.parquet(f"{tmp_path}/t"), [])
+    for df in (scores, relations.edges(spark, sf), relations.candidates(spark, sf), relations.questions(spark, sf).join(relations.candidates(spark, sf), "pack")):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert {r["query"] for r in scores.collect()} == {"q1", "q2"}
+
+
 def test_budget_skips_but_goes_on(spark):
     df = spark.createDataFrame([(["aaaa", "bbbbbb", "aaaa", "cc"],), ([],)], "t array<string>")
     assert [r[0] for r in df.select(retrieval.within_budget(F.col("t"), 7)).collect()] == [["aaaa", "cc"], []]
