@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from packloom.llm.canonical import SAME_SHAPE
 from packloom.operators.skew import salted_join
 
-#: Reference answers, and names of events, from which the terminal-context model is fitted, about.
-MOST_REFERENCES = 4000
+#: Contexts that a task counts before it hands the counts on.
+MOST_CONTEXTS = 400_000
 #: Lengths of the contexts, sightings a context needs to count, and the least share of endings among them.
 CONTEXTS, SIGHTINGS, ENDING = (8, 6, 4, 3, 2, 1), 5, 0.1
 #: Bytes that a copied response may leave after compression, beside a twelfth of its length.
@@ -223,6 +223,38 @@ def _masked(text: str) -> str:
     return _NUMBERS.sub("0", re.sub(r"D\d{3,}", "#", text))
 
 
+def _count_contexts(text: str, name: bool, ends: Counter, goes_on: Counter) -> None:
+    """Add the contexts of a complete text; of a name only those at its end count."""
+    text = _masked(plain(text)) if name else _masked(plain(text).rstrip(_END + _CLOSE))
+    if name:
+        for n in CONTEXTS:
+            if 2 <= n <= len(text):
+                ends[text[-n:]] += 1
+        return
+    for i in range(1, len(text) + 1):
+        for n in CONTEXTS:
+            if n <= i:
+                (ends if i == len(text) else goes_on)[text[i - n : i]] += 1
+
+
+def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(context, ends, goes_on)`` of rows ``(text, name)``; a context may come several times."""
+    ends, goes_on = Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        keys = list({**ends, **goes_on})
+        return pa.record_batch([pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([goes_on[k] for k in keys], pa.int64())], names=["context", "ends", "goes_on"])
+
+    for b in batches:
+        for text, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            _count_contexts(text, name, ends, goes_on)
+            if len(ends) + len(goes_on) > MOST_CONTEXTS:
+                yield counted()
+                ends.clear()
+                goes_on.clear()
+    yield counted()
+
+
 class Endings:
     """How often a context ends a complete text, against how often the text goes on after it."""
 
@@ -233,19 +265,27 @@ class Endings:
     @classmethod
     def fit(cls, references: list[str], names: list[str]) -> Endings:
         ends, goes_on = Counter(), Counter()
-        for text in references:
-            text = _masked(plain(text).rstrip(_END + _CLOSE))
-            for i in range(1, len(text) + 1):
-                for n in CONTEXTS:
-                    if n <= i:
-                        (ends if i == len(text) else goes_on)[text[i - n : i]] += 1
-        for text in names:
-            text = _masked(plain(text))
-            for n in CONTEXTS:
-                if 2 <= n <= len(text):
-                    ends[text[-n:]] += 1
+        for name, texts in ((False, references), (True, names)):
+            for text in texts:
+                _count_contexts(text, name, ends, goes_on)
         return cls(ends, goes_on)
 
+    @classmethod
+    def fit_all(cls, references: DataFrame, names: DataFrame) -> Endings:
+        """``fit`` on every row of both, counted in tasks.
+
+        Of the contexts only those reach the driver that decide otherwise than the next shorter one, or have none; the others change nothing.
+        """
+        texts = references.select("text", F.lit(False).alias("name")).unionByName(names.select("text", F.lit(True).alias("name"))).where("text IS NOT NULL")
+        counts = texts.mapInArrow(_context_counts, "context string, ends bigint, goes_on bigint").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+        known = counts.where(F.col("ends") + F.col("goes_on") >= SIGHTINGS).withColumn("open", F.col("ends") / (F.col("ends") + F.col("goes_on")) < ENDING)
+        size, shorter = F.length("context"), F.lit(None).cast("string")
+        for n, less in zip(CONTEXTS, CONTEXTS[1:]):
+            shorter = F.when(size == n, F.right("context", F.lit(less))).otherwise(shorter)
+        rows = known.withColumn("shorter", shorter).join(known.select(F.col("context").alias("shorter"), F.col("open").alias("before")), "shorter", "left")
+        kept = rows.where(F.col("before").isNull() | (F.col("before") != F.col("open"))).select("context", "ends", "goes_on").collect()
+        return cls(Counter({r["context"]: r["ends"] for r in kept}), Counter({r["context"]: r["goes_on"] for r in kept}))
+
     def broken(self, text: str) -> bool:
         """Whether ``text`` (plain) breaks off."""
         text = text.rstrip()
@@ -287,24 +327,16 @@ def defect(prompt: str | None, kind: str | None, answer: str | None, cut: bool,
     return None
 
 
-def _sample(texts: DataFrame) -> list[str]:
-    """About MOST_REFERENCES rows of ``texts(key, text)``, picked by a hash of the row, in an order that doesn't vary."""
-    some = texts.where("text IS NOT NULL")
-    one_in = max(1, some.count() // MOST_REFERENCES)
-    rows = some.where(F.pmod(F.xxhash64("key", "text"), F.lit(one_in)) == 0).limit(4 * MOST_REFERENCES).collect()
-    return [text for _, text in sorted((r["key"] or "", r["text"]) for r in rows)]
-
-
 def broken_pairs(attempts: DataFrame, questions: DataFrame, references: DataFrame, names: DataFrame) -> DataFrame:
     """``(delivery_id, defect_type)`` for each defective row of ``attempts``, repeats included.
 
     ``attempts(delivery_id, sample_key, answer, raw)``, ``questions(sample_key, question, kind)``: one row a sample, rows of
     more give the smallest. Where ``answer`` is null the raw reply's answer counts; where both are null the pair is
     ``empty``. Without a question (unknown sample, null key) copies and languages cannot be told and a refusal is a
-    defect. ``references(key, text)`` and ``names(key, text)`` are complete texts for the terminal-context model.
+    defect. ``references(key, text)`` and ``names(key, text)`` are complete texts, from all of which the terminal-context model is fitted.
     """
     spark = attempts.sparkSession
-    fitted = spark.sparkContext.broadcast(Endings.fit(_sample(references), _sample(names)))
+    fitted = spark.sparkContext.broadcast(Endings.fit_all(references, names))
     one = questions.where("sample_key IS NOT NULL").groupBy("sample_key").agg(F.min(F.struct("question", "kind")).alias("q"))
     rows = attempts.select("delivery_id", "sample_key", "answer", F.when(F.col("answer").isNull(), F.col("raw")).alias("raw"))
     pairs = salted_join(rows, one, "sample_key", ["delivery_id"], "left").select("delivery_id", "answer", "raw", "q.question", "q.kind")

@@ -75,3 +75,14 @@ def test_rows(spark):
     got = {r[0]: r[1] for r in broken_pairs(attempts, questions, texts, texts).collect()}
     assert got == {i: "truncated" if i % 4 == 0 else "empty" for i in range(0, 400, 2)} | {900: "refusal"}
     assert broken_pairs(attempts.limit(0), questions.limit(0), texts.limit(0), texts.limit(0)).count() == 0
+
+
+def test_endings_count_every_reference(spark):
+    # Of 12 000 references a sample of a third would see the rare ending twice at most, fewer than it needs to count.
+    texts = [f"D{i:03d}（停电）的直接起因是D{i + 1:03d}（暴雨）：设备老化，造成供水中断。" for i in range(11_994)] + ["其后桥梁垮塌殆尽"] * 3 + ["记录所载桥梁垮塌殆尽"] * 3
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [(None, None)], "key string, text string").repartition(3)
+    every, local = Endings.fit_all(rows, rows.limit(0)), Endings.fit(texts, [])
+    assert every.share["尽"] == local.share["尽"] == 1.0
+    assert len(every.share) < len(local.share)
+    heads = {t[:i] for t in texts[-6:] + texts[:40] for i in range(1, len(t) + 1)}
+    assert [every.broken(x) for x in heads] == [local.broken(x) for x in heads]
