@@ -52,6 +52,16 @@ def test_nothing_that_grows_is_broadcast(spark, tmp_path):
     assert {r["query"] for r in scores.collect()} == {"q1", "q2"}
 
 
+def test_paths_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([("a", "D001"), ("a", "D002")], "pack string, event_id string").write.parquet(f"{tmp_path}/n")
+    spark.createDataFrame([("a", "D001", "D002")], "pack string, src string, dst string").write.parquet(f"{tmp_path}/e")
+    paths = graph.simple_paths(spark.read.parquet(f"{tmp_path}/n"), spark.read.parquet(f"{tmp_path}/e"))
+    # The asking side has lost its hint in a join, so the paths' own must hold.
+    joined = spark.createDataFrame([("q", "a")], "sample_key string, pack string").join(paths, "pack")
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r["path"] for r in joined.collect()) == [["D001"], ["D001", "D002"], ["D002"]]
+
+
 def test_budget_skips_but_goes_on(spark):
     df = spark.createDataFrame([(["aaaa", "bbbbbb", "aaaa", "cc"],), ([],)], "t array<string>")
     assert [r[0] for r in df.select(retrieval.within_budget(F.col("t"), 7)).collect()] == [["aaaa", "cc"], []]
