@@ -14,7 +14,7 @@ from packloom.plans.metric_queries import SCORE, scores
 from packloom.plans.sql import base
 from packloom.session import cut_lineage
 from packloom.sources import relations as R
-from packloom.sources.tables import table
+from packloom.sources.tables import table, unbroadcast
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ def evidence_texts(spark: SparkSession, sf_dir: str, chains: DataFrame, most: in
     # A chain has at most twelve events.
     per = nodes.select("sample_key", "place", best.alias("part")).where("part IS NOT NULL").groupBy("sample_key").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("l"))
     kept = V.within_budget(F.transform("l", lambda x: x["part"]), most)
-    return chains.select("sample_key").distinct().join(per.select("sample_key", kept.alias("evidence")), "sample_key", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    return unbroadcast(chains.select("sample_key").distinct()).join(per.select("sample_key", kept.alias("evidence")), "sample_key", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
 
 
 @query()
