@@ -7,7 +7,7 @@ import pytest
 from packloom.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ["evidence_sentences", "hybrid_rank"]
+NAMES = ["evidence_sentences", "hybrid_rank", "ranking_features"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
