@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packloom.functions import text as T
 from packloom.operators.retrieval import known_anchors, ranked_candidates
 from packloom.sources import relations as R
+from packloom.sources.tables import unbroadcast
 
 KINDS = ["retrospective", "prospective", "counterfactual", "unanswerable"]
 NUMERIC = ["relevance", "place", "anchor", "label_overlap", "text_overlap", "number", "text_chars", "named_share", "question_chars", "visible", "outdegree", "indegree", *KINDS]
@@ -26,7 +27,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [F.coalesce((F.col("kind") == k).cast("int"), F.lit(0)).alias(k) for k in KINDS]
     q = R.questions(spark, sf_dir).select("sample_key", "question", "kind", F.coalesce(~F.col("track").isin("B", "C"), F.lit(True)).alias("shown"), F.array_distinct(T.tokens(F.col("question"))).alias("qt"))
     c = R.candidates(spark, sf_dir).select("pack", "event_id", F.length("text").alias("chars"), F.array_distinct(T.tokens(F.col("label"))).alias("lt"), F.array_distinct(T.tokens(F.substring("text", 1, 600))).alias("xt"))
-    c = c.join(degree("src", "out"), ["pack", "event_id"], "left").join(degree("dst", "into"), ["pack", "event_id"], "left")
+    c = unbroadcast(c.join(degree("src", "out"), ["pack", "event_id"], "left").join(degree("dst", "into"), ["pack", "event_id"], "left"))
     rows = ranked_candidates(spark, sf_dir).join(q, "sample_key").join(known_anchors(spark, sf_dir).drop("pack"), "sample_key").join(c, ["pack", "event_id"])
     own = Window.partitionBy("sample_key")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("ord", "event_id")) - 1)
