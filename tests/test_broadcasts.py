@@ -7,7 +7,7 @@ import pytest
 from packloom.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = ["evidence_sentences", "hybrid_rank", "ranking_features", "ranker_inputs", "rag_documents", "recall_at_k_by_group", "hints_union_anchors", "guided_prompt", "miss_classification", "hybrid_vectors", "candidate_recall"]
+NAMES = ["evidence_sentences", "hybrid_rank", "ranking_features", "ranker_inputs", "rag_documents", "recall_at_k_by_group", "hints_union_anchors", "guided_prompt", "miss_classification", "hybrid_vectors", "candidate_recall", "numbered_candidates"]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
