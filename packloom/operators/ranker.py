@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from packloom.sources.tables import unbroadcast
 
 KINDS = ["retrospective", "prospective", "counterfactual", "unanswerable"]
 NUMERIC = ["relevance", "place", "anchor", "label_overlap", "text_overlap", "number", "text_chars", "named_share", "question_chars", "visible", "outdegree", "indegree", *KINDS]
-#: Feature rows, about, from which the trees are fitted; rows beyond are left out by a hash of their sample.
-MOST_ROWS = 200_000
+#: Bins of an input in the trees; rows beyond which Spark's trees would tell thresholds by a sample (its square of bins leaves 32 bits), so fitting fails.
+BINS, MOST_ROWS = 32, 46_340**2
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,23 +61,46 @@ def ablated(features: DataFrame, what: str = "none") -> DataFrame:
     return features.select(*[F.lit(0.0).alias(c) if c in gone else F.col(c) for c in features.columns])
 
 
+def thresholds(rows: DataFrame) -> tuple[int, list[list[float]]]:
+    """Number of ``rows``, and at most BINS - 1 thresholds of each input, by counts of its values over all of them.
+
+    An input of BINS values or fewer has one between any two neighbours; others have bins of about equally many rows.
+    """
+    told = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in NUMERIC])).alias("at", "value")).groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("at")
+    told = told.withColumn("middle", F.sum("n").over(own.orderBy("value")) - F.col("n") / 2).withColumn("nth", F.row_number().over(own.orderBy("value")))
+    told = told.withColumn("total", F.sum("n").over(own)).withColumn("values", F.count(F.lit(1)).over(own))
+    piece = F.when(F.col("values") <= BINS, F.col("nth")).otherwise(F.floor(F.col("middle") * BINS / F.col("total")))
+    ends = told.groupBy("at", piece.alias("bin")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n")).orderBy("at", "bin").collect()
+    by = [[r for r in ends if r["at"] == i] for i in range(len(NUMERIC))]
+    return sum(r["n"] for r in by[0]), [sorted({(a["hi"] + b["lo"]) / 2 for a, b in zip(x, x[1:])}) for x in by]
+
+
 def fit(features: DataFrame, labels: DataFrame, seed: int = 7, rounds: int = 120):
-    """A model from ``features(sample_key, event_id, ...)`` and ``labels(sample_key, event_id)`` (the events of gold chains)."""
+    """A model from ``features(sample_key, event_id, ...)`` and ``labels(sample_key, event_id)`` (the events of gold chains).
+
+    Thresholds and trees come from all rows. Spark's trees would tell thresholds by max(10 000, bins squared) rows, so they get the inputs'
+    bins, with room for so many that all rows are read; a tree's counts have only the bins that there are.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
 
+    n, cuts = thresholds(features)
+    if n > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows to fit a ranker from")
     rows = features.join(labels.select("sample_key", "event_id").distinct().withColumn("label", F.lit(1.0)), ["sample_key", "event_id"], "left").na.fill(0.0, ["label"])
-    share = max(1, rows.count() // MOST_ROWS)
-    rows = rows.where(F.pmod(F.xxhash64("sample_key"), F.lit(share)) == 0)
-    vectors = VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(rows).select("features", "label")
-    return GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.07, seed=seed).fit(vectors)
+    binned = [f"{c}_bin" for c in NUMERIC]
+    bins = Bucketizer(splitsArray=[[-math.inf, *(c or [0.0]), math.inf] for c in cuts], inputCols=NUMERIC, outputCols=binned)
+    vectors = VectorAssembler(inputCols=binned, outputCol="features")
+    trees = GBTClassifier(maxIter=rounds, maxDepth=4, stepSize=0.07, seed=seed, maxBins=max(BINS, math.isqrt(max(n, 1) - 1) + 1))
+    return PipelineModel([bins, vectors, trees.fit(vectors.transform(bins.transform(rows)).select("features", "label"))])
 
 
 def rank(model, features: DataFrame) -> DataFrame:
     """``(sample_key, event_id, probability, rnk)`` by falling probability; ties keep the lexical place."""
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(features))
+    scored = model.transform(features)
     out = scored.select("sample_key", "event_id", "place", F.round(vector_to_array("probability")[1], 6).alias("probability"))
     return out.withColumn("rnk", F.row_number().over(Window.partitionBy("sample_key").orderBy(F.desc("probability"), "place"))).drop("place")

@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from packloom.operators.components import propagate
-from packloom.operators.ranker import NUMERIC, fit, rank
+from packloom.operators.ranker import NUMERIC, fit, rank, thresholds
 
 
 def union_find(rows):
@@ -43,3 +45,20 @@ def test_ranker_learns_an_obvious_rule(spark):
     labels = df.where("anchor = 1").select("sample_key", "event_id")
     top = rank(fit(df, labels, rounds=3), df).where("rnk = 1").select("sample_key", "event_id")
     assert top.exceptAll(labels).count() == 0 and top.count() == 60
+
+
+def test_ranker_is_fitted_on_all_rows(spark):
+    # Of 400 000 rows four are true, each told by an input of its own; a sample of rows or of thresholds leaves some out.
+    true = {"relevance": 77_777, "anchor": 177_778, "label_overlap": 277_779, "number": 377_780}
+    df = spark.range(400_000).select(F.concat(F.lit("s"), "id").alias("sample_key"), F.lit("D001").alias("event_id"), *[(F.col("id") == true[n]).cast("double").alias(n) if n in true else (F.col("id") % 7).cast("double").alias(n) for n in NUMERIC])
+    labels = df.where(" OR ".join(f"{n} = 1" for n in true)).select("sample_key", "event_id")
+    best = rank(fit(df, labels, rounds=1), df).orderBy(F.desc("probability")).limit(5).collect()
+    assert {r["sample_key"] for r in best[:4]} == {f"s{i}" for i in true.values()} and best[3]["probability"] > best[4]["probability"]
+
+
+def test_thresholds_are_those_of_all_rows(spark):
+    df = spark.range(50_000).select(*[(F.col("id") if n == "number" else F.col("id") % 40 if n == "place" else F.lit(3) if n == "anchor" else (F.col("id") == 49_999)).cast("double").alias(n) for n in NUMERIC])
+    n, cuts = thresholds(df)
+    told = dict(zip(NUMERIC, cuts, strict=True))
+    assert n == 50_000 and told["relevance"] == [0.5] and told["anchor"] == [] and len(told["place"]) == 31
+    assert len(told["number"]) == 31 and all(abs(c - 50_000 * i / 32) <= 1 for i, c in enumerate(told["number"], 1))
